@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import exact_dedup, license_scan
+from loomgraph.llm import exact_dedup, license_scan, quality_rules
 
 QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 ORACLES = {
