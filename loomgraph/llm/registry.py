@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import exact_dedup, license_scan, quality_rules
+from loomgraph.llm import byte_bpe, exact_dedup, license_scan, quality_rules
 
 QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 ORACLES = {
