@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, exact_dedup, license_scan, quality_rules, token_files
+from loomgraph.llm import byte_bpe, exact_dedup, license_scan, quality_rules, token_files, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_token_files": token_files.op7_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
