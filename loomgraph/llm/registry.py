@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, exact_dedup, html_text, license_scan, quality_rules, token_files, toxicity
+from loomgraph.llm import byte_bpe, exact_dedup, html_text, license_scan, quality_rules, substring_dedup, token_files, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_html_text": html_text.op2_html_text,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_token_files": token_files.op7_token_files,
