@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, exact_dedup, html_text, license_scan, quality_rules, substring_dedup, token_files, toxicity
+from loomgraph.llm import byte_bpe, exact_dedup, html_text, license_scan, near_dedup, quality_rules, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_token_files": token_files.op7_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
