@@ -30,8 +30,8 @@ from loomgraph.llm.words import BASE, BASE_INVERSE, Words, ids_of, mix, powers,
 WINDOW = 50
 MINIMISER = 8
 SAMPLE_RATE = 128
-FLUSH_BYTES = 12 << 20
-BUCKET_BYTES = 16 << 20
+FLUSH_BYTES = 24 << 20
+BUCKET_BYTES = 4 << 20
 EXPANSION = 6
 SEEN_MOST = 250_000
 LAST = np.iinfo(np.int64).max
@@ -93,7 +93,7 @@ class _Sender:
     def __init__(self, n_buckets: int, frequent: np.ndarray):
         self.n_buckets, self.frequent = n_buckets, frequent
         self.seen: dict[bytes, int] = {}
-        self.press = zstandard.ZstdCompressor(level=1)
+        self.press = zstandard.ZstdCompressor(level=3)
         self.reset()
 
     def reset(self) -> None:
