@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, exact_dedup, html_text, license_scan, near_dedup, quality_rules, substring_dedup, token_files, toxicity
+from loomgraph.llm import byte_bpe, exact_dedup, html_text, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_html_text": html_text.op2_html_text,
+    "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_token_files": token_files.op7_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
