@@ -59,6 +59,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def rows_of(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, whose doc_id has a kept decision (a null id like any other)."""
+    none = F.lit(-(1 << 63))
+    kept = decisions.filter("kept").select(F.coalesce(F.col("doc_id"), none).alias("__id")).distinct()
+    marked = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), none))
+    return marked.join(kept, "__id", "left_semi").drop("__id")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that exact_dedup keeps: one for each text."""
+    kept = rows_of(docs, exact_dedup(docs, id_col, text_col), id_col)
+    again = Window.partitionBy(id_col, "__text").orderBy("__text")
+    marked = kept.withColumn("__text", F.sha2(normalised(F.col(text_col)), 256))
+    return marked.withColumn("__n", F.row_number().over(again)).filter("__n = 1").drop("__n", "__text")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

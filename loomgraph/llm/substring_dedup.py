@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from loomgraph.llm.scratch import staged
 from loomgraph.llm.shipping import ship_package
@@ -218,7 +219,7 @@ def _judge(blobs: list[bytes]) -> np.ndarray:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ident = F.col(id_col).cast("long")
-    return docs.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("row_key"), text.alias("text"))
+    return docs.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("row_key"), text.alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest"))
 
 
 def _size(df: DataFrame) -> int:
@@ -283,18 +284,21 @@ def duplicate_ranges(keyed: DataFrame, n_buckets: int | None = None) -> DataFram
 OUT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, n_buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, n_buckets: int | None = None, verbatim: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text.
 
     Every word that lies in a window which also starts in a document with a smaller doc_id is removed; windows are
     judged on the input. Null and empty texts have no words, texts below WINDOW words lose none, rows that share a
     doc_id do not remove each other's words, and a null doc_id ranks after every other. Other columns are ignored
-    and an empty table gives an empty result.
+    and an empty table gives an empty result. verbatim: texts that lose nothing keep their white space, and the
+    struct `rest` carries the row's other columns.
     """
     keyed = _keyed(docs, id_col, text_col)
+    schema = StructType([*_parse_datatype_string(OUT_SCHEMA).fields, *([keyed.schema["rest"]] if verbatim else [])])
+    carried = ["rest"] if verbatim else []
     key = [F.coalesce(F.col("doc_id"), F.lit(int(LAST))).alias("k"), "row_key"]
-    ranges = duplicate_ranges(keyed, n_buckets).groupBy(*key).agg(F.collect_list("start").alias("starts"), F.collect_list("n_windows").alias("counts"))
-    joined = keyed.select(*key, "doc_id", "text").join(ranges, ["k", "row_key"], "left").select("doc_id", "text", "starts", "counts")
+    ranges = duplicate_ranges(keyed.drop("rest"), n_buckets).groupBy(*key).agg(F.collect_list("start").alias("starts"), F.collect_list("n_windows").alias("counts"))
+    joined = keyed.select(*key, "doc_id", "text", *carried).join(ranges, ["k", "row_key"], "left").select("doc_id", "text", "starts", "counts", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,15 +313,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     np.add.at(cover, np.minimum(first + np.array(counts) + WINDOW - 1, len(words)), -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0).tolist()]
                 raw = b" ".join(kept)
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(raw).hexdigest(), raw.decode() if with_text else None))
+                shown = text.as_py() if verbatim and len(kept) == len(words) else raw.decode() if with_text else None
+                out.append((len(words), len(words) - len(kept), hashlib.sha256(raw).hexdigest(), shown))
             n, gone, sha, kept_text = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], [f.split(" ")[0] for f in OUT_SCHEMA.split(", ")]
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string()), *(b.column(c) for c in carried)], schema.names
             )
 
-    result = joined.mapInArrow(run, OUT_SCHEMA)
+    result = joined.mapInArrow(run, schema)
     return result if with_text else result.drop("kept_text")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with repeated windows taken out of their text."""
+    kept = remove_repeats(docs, id_col, text_col, verbatim=True)
+    return kept.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], F.col("n_removed").alias("__removed"))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
