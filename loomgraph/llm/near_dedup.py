@@ -4,10 +4,10 @@ Each of PERMUTATIONS hash functions is evaluated once a shingle and gives two si
 maximum. Bands of ROWS values put documents into buckets. Documents with equal sets are one class from the start.
 
 Candidate pairs of a bucket are not all emitted. Its least member is a pivot: every member is compared with the
-pivot, and links so found are joined to components. What is left are pairs of members in different components. The
-Jaccard distance is a metric, so such a pair can only be linked if the two distances to the pivot differ by no more
-than the link distance; those pairs are compared as well. No candidate link is lost, and copies of one text cost
-one comparison each.
+pivot, and links so found are joined to components. What is left are pairs of members in different components. A
+parity bitmap of each set bounds the symmetric difference of two sets from below, so pairs that cannot be linked are
+left out inside the join, without error; the others are compared as well. No candidate link is lost, and copies of
+one text cost one comparison each.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ from loomgraph.llm.words import FOLD, Words, mix, rolling, texts_of, word_runs
 
 SHINGLE = 2
 PERCENT = 80
-PERMUTATIONS = 48
-ROWS = 4
+PERMUTATIONS = 120
+ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
+BITS = 1024
 _rng = np.random.default_rng(20_240_229)
 MULTIPLIERS = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) << np.uint64(1) | np.uint64(1)
 FLIPS = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
@@ -73,7 +74,16 @@ def band_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return keys
 
 
-SKETCH_SCHEMA = "seq long, doc_id long, n_shingles long, digest binary, keys array<long>, packed binary"
+def bitmaps(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of BITS hash classes, as BITS / 64 integers a document."""
+    n = len(bounds) - 1
+    own = np.repeat(np.arange(n), np.diff(bounds))
+    place = (mix(values + np.uint64(11)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    parity = np.bincount(own * BITS + place, minlength=n * BITS).reshape(n, BITS) & 1
+    return np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
+
+
+SKETCH_SCHEMA = "seq long, doc_id long, n_shingles long, digest binary, keys array<long>, bits array<long>, packed binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -87,8 +97,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             digests = [hashlib.blake2b(values[x:y].tobytes(), digest_size=16).digest() if y > x else None for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             keys = band_keys(values, cuts).view(np.int64).reshape(-1)
             offsets = np.concatenate(([0], np.cumsum((sizes > 0) * BANDS))).astype(np.int32)
+            maps = bitmaps(values, cuts)
+            map_ends = pa.array(np.arange(j - i + 1, dtype=np.int32) * maps.shape[1])
             packed = [press.compress(data[x:y].tobytes()) if n else None for x, y, n in zip(bounds[i:j].tolist(), bounds[i + 1 : j + 1].tolist(), sizes.tolist(), strict=True)]
-            cols = [b.column("seq").slice(i, j - i), b.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array(packed, pa.binary())]
+            cols = [b.column("seq").slice(i, j - i), b.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.ListArray.from_arrays(map_ends, pa.array(maps.reshape(-1))), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, [f.split(" ")[0] for f in SKETCH_SCHEMA.split(", ")])
 
 
@@ -137,6 +149,13 @@ def confirm(pairs: DataFrame, sketch: DataFrame, width: int, label: str) -> Data
     return staged(joined.select("a", "b", "left", "right").mapInArrow(lambda x: _compare(x, width), "a long, b long, both long, whole long"), label)
 
 
+def _may_link(x: str, y: str, percent: int):
+    """False only for sets (size, bits) that cannot reach the similarity: by their sizes, or by their bitmaps' distance."""
+    sizes = f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size)"
+    apart = f"aggregate(zip_with({x}.bits, {y}.bits, (p, q) -> bit_count(p ^ q)), 0, (s, n) -> s + n)"
+    return F.expr(f"{sizes} and {apart} * {100 + percent} <= ({x}.size + {y}.size) * {100 - percent}")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -149,36 +168,34 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(docs.sparkSession)
     read = docs.select(F.monotonically_increasing_id().alias("seq"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = staged(read.mapInArrow(lambda x: _sketch(x, width), SKETCH_SCHEMA), "sketch")
-    classes = staged(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("seq").alias("node"), F.min("doc_id").alias("least_doc"), F.first("n_shingles").alias("size")), "classes")
-    nodes = classes.select("node", "size")
-    bands = sketch.select(F.col("seq").alias("node"), "keys").join(nodes, "node").select("node", "size", F.explode("keys").alias("key"))
+    classes = staged(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("seq").alias("node"), F.min("doc_id").alias("least_doc")), "classes")
+    bands = sketch.select(F.col("seq").alias("node"), "keys").join(classes.select("node"), "node").select("node", F.explode("keys").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     members = staged(bands.join(pivots, "key"), "members")
-    tried = confirm(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sketch, width, "pivot-pairs")
+    sets = sketch.select("seq", F.col("n_shingles").alias("size"), "bits")
+
+    def with_set(df: DataFrame, node: str, name: str) -> DataFrame:
+        return df.join(sets.select(F.col("seq").alias(node), F.struct("size", "bits").alias(name)), node)
+
+    pivot_pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pivot_pairs = with_set(with_set(pivot_pairs, "b", "y"), "a", "x").filter(_may_link("x", "y", percent)).select("a", "b")
     linked = F.expr(f"100 * both >= {percent} * whole")
-    links = tried.filter(linked).select("a", "b")
+    links = confirm(pivot_pairs, sketch, width, "pivot-pairs").filter(linked).select("a", "b")
     found = connected_components(links)
 
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.join(tried.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (F.col("both") / F.col("whole")).alias("near")), ["pivot", "node"], "left")
-    placed = staged(placed.withColumn("near", F.coalesce("near", F.lit(1.0))), "placed")
-    pivot_of = placed.filter("node = pivot").select("key", F.col("component").alias("main"))
-    outside = placed.join(pivot_of, "key").filter("component <> main")
-    slack = (100 - percent) / 100 + 1e-9
-    o, m = outside.alias("o"), placed.filter("node <> pivot").alias("m")
+    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    main = placed.filter("node = pivot").select("key", F.col("component").alias("main"))
+    mixed = staged(with_set(placed.join(spread, "key").join(main, "key").filter("node <> pivot"), "node", "held").select("key", "node", "component", "main", "held"), "mixed")
+    o, m = mixed.filter("component <> main").alias("o"), mixed.alias("m")
     cross = (
-        o.join(m, F.col("o.key") == F.col("m.key"))
-        .filter("o.component <> m.component")
-        .filter(F.abs(F.col("o.near") - F.col("m.near")) <= slack)
-        .filter(f"100 * least(o.size, m.size) >= {percent} * greatest(o.size, m.size)")
+        o.join(m, (F.col("o.key") == F.col("m.key")) & (F.col("o.component") != F.col("m.component")) & _may_link("o.held", "m.held", percent))
         .select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b"))
         .distinct()
     )
-    cross = staged(cross, "cross-pairs")
-    if not cross.isEmpty():
-        more = confirm(cross, sketch, width, "cross-confirmed").filter(linked).select("a", "b")
-        if not more.isEmpty():
-            found = connected_components(links.unionByName(more))
+    more = confirm(cross, sketch, width, "cross-pairs").filter(linked).select("a", "b")
+    if not more.isEmpty():
+        found = connected_components(links.unionByName(more))
 
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))

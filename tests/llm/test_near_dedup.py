@@ -107,3 +107,12 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert got(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (1, 20, 400, 3000):
+        pool = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+        a, b = pool[:n], pool[n // 3 : n // 3 + n]
+        x, y = nd.bitmaps(np.concatenate((a, b)), np.array([0, n, 2 * n])).view(np.uint8)
+        assert np.unpackbits(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
