@@ -117,6 +117,7 @@ def inheritance_chains(graph: CodeGraph, bound: int = EngineConfig.depth_bound)
     ids = graph.components.select("component_id", "simple_name", "qualified_name", "is_interface")
     parent = first.filter("target_id is not null").select(F.col("owner_id").alias("at"), "target_id")
     parent = parent.join(ids.filter("not is_interface").select(F.col("component_id").alias("target_id"), F.col("simple_name").alias("to_name"), F.col("qualified_name").alias("to_qualified")), "target_id")
+    parent = cut_lineage(parent)
     walks = ids.select("component_id", F.col("component_id").alias("at"), F.array("qualified_name").alias("seen"), F.array("simple_name").alias("names"))
     ended = []
     for _ in range(bound):
@@ -133,9 +134,11 @@ def inheritance_chains(graph: CodeGraph, bound: int = EngineConfig.depth_bound)
 
 def greedy_chains(components: DataFrame, edges: DataFrame, entries: DataFrame, hops: int = EngineConfig.chain_hops) -> DataFrame:
     """From each entry (component_id) up to `hops` times the unvisited, non-configuration neighbour with most edges out."""
+    edges = cut_lineage(edges)
     out = edges.groupBy("from_id").agg(F.count("*").alias("n")).select(F.col("from_id").alias("to_id"), "n")
     usable = components.filter("role <> 'CONFIGURATION'").select(F.col("component_id").alias("to_id"))
     step = edges.join(usable, "to_id").join(out, "to_id", "left").select(F.col("from_id").alias("at"), "to_id", F.coalesce("n", F.lit(0)).alias("n"))
+    step = cut_lineage(step)
     walks = entries.select(F.col("component_id").alias("entry"), F.col("component_id").alias("at"), F.array("component_id").alias("nodes"))
     for _ in range(hops):
         options = walks.join(step, "at").filter(~F.array_contains("nodes", F.col("to_id")))
@@ -143,4 +146,5 @@ def greedy_chains(components: DataFrame, edges: DataFrame, entries: DataFrame, h
         walks = walks.join(chosen, "entry", "left").select(
             "entry", F.coalesce("to_id", F.lit(-1)).alias("at"), F.when(F.col("to_id").isNotNull(), F.concat("nodes", F.array("to_id"))).otherwise(F.col("nodes")).alias("nodes")
         )
+        walks = cut_lineage(walks)
     return walks.select("entry", F.array_join(F.transform("nodes", lambda x: x.cast("string")), " -> ").alias("chain"))

@@ -32,9 +32,9 @@ def totals(symbols: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dependencies_by_scope(deps: DataFrame, keys: list[str]) -> DataFrame:
-    """deps(scope, artifact, ord): one text a scope, scopes numbered in order of first appearance."""
+    """deps(scope, artifact, ord): one text a scope, scopes numbered in order of first appearance (then by name)."""
     grouped = deps.groupBy(*keys, "scope").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "artifact"))).alias("a"))
-    w = Window.partitionBy(*keys).orderBy("first")
+    w = Window.partitionBy(*keys).orderBy("first", "scope")
     return grouped.select(*keys, "scope", F.row_number().over(w).cast("long").alias("scope_ord"), F.array_join(F.transform("a", lambda x: x["artifact"]), ", ").alias("artifacts"))
 
 

@@ -33,7 +33,9 @@ def findings(df: DataFrame, rule: int, severity, message: Column, suggestion: Co
     )
 
 
-HERE = F.lit(".")
+def here() -> Column:
+    """The file of findings about no single file."""
+    return F.lit(".")
 
 
 def smell_classes(g: CodeGraph, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -45,7 +47,7 @@ def smell_classes(g: CodeGraph, cfg: EngineConfig = EngineConfig()) -> DataFrame
 def forbidden_packages(g: CodeGraph, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     df = g.components.withColumn("last", last_segment(F.col("package_name"))).filter(F.col("last").isin(*cfg.forbidden_packages))
     df = df.groupBy("package_name", "last").agg(F.min("component_id").alias("component_id"))
-    return findings(df, 2, "FORBIDDEN", text("Package `{}` uses forbidden name `{}`", "package_name", "last"), F.lit("Rename the package to describe what it does instead of a generic name."), HERE)
+    return findings(df, 2, "FORBIDDEN", text("Package `{}` uses forbidden name `{}`", "package_name", "last"), F.lit("Rename the package to describe what it does instead of a generic name."), here())
 
 
 def forbidden_class_names(g: CodeGraph, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -79,7 +81,7 @@ def deep_inheritance(g: CodeGraph, cfg: EngineConfig = EngineConfig()) -> DataFr
 def circular_dependencies(cycles: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """cycles(path text), the first by their text."""
     df = cycles.orderBy("path").limit(cfg.cycle_findings).withColumn("component_id", F.lit(0).cast("long"))
-    return findings(df, 7, "WARNING", text("Circular dependency: {}", "path"), F.lit("Break the cycle by extracting a shared interface or moving shared logic to a separate class."), HERE)
+    return findings(df, 7, "WARNING", text("Circular dependency: {}", "path"), F.lit("Break the cycle by extracting a shared interface or moving shared logic to a separate class."), here())
 
 
 def dependency_inversion(g: CodeGraph, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -108,7 +110,7 @@ def missing_tests(g: CodeGraph, cfg: EngineConfig = EngineConfig()) -> DataFrame
     first = open_.orderBy("component_id").limit(cfg.untested_preview).agg(F.array_sort(F.collect_list(F.struct("component_id", "simple_name"))).alias("f"))
     many = total.crossJoin(first).filter(F.col("n") > cfg.untested_before_summary).withColumn("component_id", F.lit(0).cast("long"))
     preview = F.array_join(F.transform("f", lambda x: F.concat(F.lit("`"), x["simple_name"], F.lit("`"))), ", ")
-    summary = findings(many, 9, "INFO", text("{} classes have no corresponding test file", "n"), text("Consider adding tests for key components, especially: {}", preview), HERE)
+    summary = findings(many, 9, "INFO", text("{} classes have no corresponding test file", "n"), text("Consider adding tests for key components, especially: {}", preview), here())
     few = open_.crossJoin(F.broadcast(total)).filter(F.col("n") <= cfg.untested_before_summary)
     return summary.unionByName(findings(few, 9, "INFO", text("`{}` has no test", "simple_name"), text("Consider adding `{}Test`.", "simple_name")))
 

@@ -401,7 +401,7 @@ def _build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "deps_by_scope",
     "",
-    "SELECT build, scope, row_number() OVER (PARTITION BY build ORDER BY f) AS scope_ord, a AS artifacts FROM (SELECT l_orderkey AS build, l_returnflag AS scope, min(l_linenumber) AS f, string_agg('a' || l_partkey, ', ' ORDER BY l_linenumber) AS a FROM lineitem GROUP BY 1, 2)",
+    "SELECT build, scope, row_number() OVER (PARTITION BY build ORDER BY f, scope) AS scope_ord, a AS artifacts FROM (SELECT l_orderkey AS build, l_returnflag AS scope, min(l_linenumber) AS f, string_agg('a' || l_partkey, ', ' ORDER BY l_linenumber, 'a' || l_partkey) AS a FROM lineitem GROUP BY 1, 2)",
 )
 def _deps_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     deps = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS build", "l_returnflag AS scope", "concat('a', cast(l_partkey as string)) AS artifact", "l_linenumber AS ord")
