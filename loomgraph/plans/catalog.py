@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import exprs
-from loomgraph.operators import graph, index, resolve, rollup, rules
+from loomgraph.operators import graph, index, reports, resolve, rollup, rules
 from loomgraph.plans.adapters import ANNOTATIONS, COMPONENTS, IMPORTS, REFS, SUPERTYPES, SYMBOLS, code_graph, plain, table
+from loomgraph.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -418,3 +419,51 @@ register(
     SELECT name, count(impl) AS n_impl, bool_or(name IN (SELECT x.name FROM i x JOIN n ON n.name IN ('Mock' || x.name, x.name || 'Mock', 'Fake' || x.name, x.name || 'Fake'))) AS has_mock
     FROM i LEFT JOIN m ON impl <> name AND (impl = base || 'Impl' OR impl = 'Default' || base OR (ends_with(impl, base) AND impl <> base)) GROUP BY 1""",
 )(lambda spark, sf_dir: rollup.interface_candidates(table(spark, sf_dir, _CLASSES)))
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Kotlin file for every part."""
+    head = "CASE WHEN package_name = '' THEN '' ELSE concat('package ', package_name, '\\n\\n') END"
+    word = "CASE component_id % 3 WHEN 0 THEN 'data class' WHEN 1 THEN 'class' ELSE 'interface' END"
+    body = (
+        f"concat({head}, 'import java.util.UUID\\nimport com.shop.supplier.S', component_id % 10, '\\n\\n@Service(\"x\")\\n', {word}, ' ', simple_name, '(val id: Int) : S', component_id % 10, "
+        "'(id), Face {\\n  // fun no()\\n  fun m0() = helper(1)\\n  fun m1(): String { return \"}\" }\\n  val p = Made(\"{\")\\n}\\n')"
+    )
+    return table(spark, sf_dir, COMPONENTS).filter("component_id < 1000000000").selectExpr("concat('/src/main/kotlin/', component_id, '.kt') AS path", "'kt' AS ext", f"{body} AS text")
+
+
+_BASED = "b AS (SELECT *, '/src/main/kotlin/' || component_id || '.kt' AS file, CASE WHEN package_name = '' THEN 5 ELSE 7 END AS l FROM c0 WHERE component_id < 1000000000)"
+register("extract_symbols")(lambda spark, sf_dir: files.symbols_of(files.parse_files(_rendered(spark, sf_dir))).drop("ord"))
+ORACLES["extract_symbols"] = check("c0", "SELECT 1").removesuffix(" SELECT 1") + f""", {_BASED}
+    SELECT file AS path, simple_name AS name, qualified_name, CASE component_id % 3 WHEN 0 THEN 'DATA_CLASS' WHEN 1 THEN 'CLASS' ELSE 'INTERFACE' END AS kind, l AS line, package_name FROM b
+    UNION ALL SELECT file, simple_name || '.' || m, qualified_name || '.' || m, k, l + d, package_name FROM b, (VALUES ('m0', 'FUNCTION', 2), ('m1', 'FUNCTION', 3), ('p', 'PROPERTY', 4)) v(m, k, d)"""
+register("extract_refs")(lambda spark, sf_dir: files.refs_of(files.parse_files(_rendered(spark, sf_dir))).drop("ord"))
+ORACLES["extract_refs"] = check("c0", "SELECT 1").removesuffix(" SELECT 1") + f""", {_BASED}, r AS (SELECT file, l, 'S' || component_id % 10 AS s FROM b)
+    SELECT file AS path, 'UUID' AS target_name, 'java.util.UUID' AS target_qualified_name, 'IMPORT' AS kind, l - 4 AS line, 'import java.util.UUID' AS context FROM r
+    UNION ALL SELECT file, s, 'com.shop.supplier.' || s, 'IMPORT', l - 3, 'import com.shop.supplier.' || s FROM r
+    UNION ALL SELECT file, s, 'com.shop.supplier.' || s, 'SUPERTYPE', l, s FROM r UNION ALL SELECT file, 'Face', NULL, 'SUPERTYPE', l, 'Face' FROM r
+    UNION ALL SELECT file, 'helper', NULL, 'CALL', l + 2, 'helper(1)' FROM r UNION ALL SELECT file, 'Made', NULL, 'CONSTRUCTOR', l + 4, 'Made("{{")' FROM r""".replace("{{", "{")
+register("extract_metadata")(
+    lambda spark, sf_dir: files.metadata_of(_rendered(spark, sf_dir)).select(
+        "path", "qualified_name", "is_interface", "is_data_class", "line_count", "declaration_line", *[F.array_join(c, ",").alias(c) for c in ("imports", "annotations", "supertypes", "methods")]
+    )
+)
+ORACLES["extract_metadata"] = check("c0", "SELECT 1").removesuffix(" SELECT 1") + f""", {_BASED}
+    SELECT file AS path, qualified_name, component_id % 3 = 2 AS is_interface, component_id % 3 = 0 AS is_data_class, CASE WHEN l = 5 THEN 8 ELSE 9 END AS line_count, l AS declaration_line,
+      'com.shop.supplier.S' || component_id % 10 AS imports, 'Service' AS annotations, 'S' || component_id % 10 || ',Face' AS supertypes, 'm0,m1' AS methods FROM b"""
+_SCRIPTS = "SELECT 'b' || CAST(l_orderkey AS STRING) AS path, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'default' WHEN 2 THEN 'implementation' ELSE 'testImplementation' END AS scope, 'g' || CAST(l_suppkey AS STRING) AS g, 'a' || CAST(l_partkey AS STRING) AS a, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE ':1.0' END AS v FROM {lineitem}"
+
+
+@register("dependency_parse", "", f"SELECT path, scope, g AS artifact_group, a AS artifact, '1.0' AS version FROM ({plain(_SCRIPTS)}) WHERE v <> '' AND scope <> 'default'")
+def _dependency_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("  "), "scope", F.lit('("'), "g", F.lit(":"), "a", "v", F.lit('")'))
+    scripts = table(spark, sf_dir, _SCRIPTS).groupBy("path").agg(F.concat(F.lit("dependencies {\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n}")).alias("text"))
+    return files.script_dependencies(scripts).drop("ord")
+
+
+_over_graph(
+    "mermaid_nodes",
+    "c0 edges",
+    """SELECT DISTINCT '        ' || regexp_replace(qualified_name, '[^a-zA-Z0-9]', '_', 'g') || '[' || simple_name || ']' AS line FROM c0 WHERE qualified_name IN (SELECT qualified_name FROM c0 JOIN (SELECT from_id AS i FROM edges UNION SELECT to_id FROM edges) ON i = component_id)""",
+    lambda g: reports.dependency_diagram(g.components.withColumn("package_group", F.lit("all")), _edges(g)).filter("line like '%[%]'").select("line").distinct(),
+)
