@@ -168,6 +168,12 @@ class BlockEncoder:
         known = self.spaced.__getitem__
         return [heads[c[0]] + b"".join(map(known, c[1:])) if c else b"" for c in cut]
 
+    def rest(self) -> None:
+        """Between tasks a worker drops large caches, since other stages share its memory."""
+        for cache in (self.pretokens, self.spaced):
+            if len(cache) > CACHE_WORDS // 2:
+                cache.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -177,6 +177,7 @@ def _tokenised(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataF
             types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *cols], [f.split(" ")[0] for f in ITEM_SCHEMA.split(", ")])
+        tokenizer(model).rest()
 
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     read = docs.select(ident.alias("doc_id"), text.alias("text"), F.spark_partition_id().alias("part"), (F.pmod(F.xxhash64(ident, text), F.lit(FILLER_EVERY)) == 0).alias("fill"))

@@ -35,6 +35,7 @@ FLUSH_BYTES = 24 << 20
 BUCKET_BYTES = 4 << 20
 EXPANSION = 6
 SEEN_MOST = 250_000
+OUT_ROWS = 500
 LAST = np.iinfo(np.int64).max
 
 
@@ -301,7 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = keyed.select(*key, "doc_id", "text", *carried).join(ranges, ["k", "row_key"], "left").select("doc_id", "text", "starts", "counts", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, OUT_ROWS) for whole in batches for i in range(0, max(len(whole), 1), OUT_ROWS)):
             out = []
             for text, starts, counts in zip(b.column("text"), b.column("starts").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []

@@ -165,6 +165,7 @@ def write_token_files(docs: DataFrame, model: str = MODEL_FILE, id_col: str = "d
                     yield close()
         if parts:
             yield close()
+        tokenizer(model).rest()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return staged(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, FILE_SCHEMA), "token-files", codec="uncompressed")

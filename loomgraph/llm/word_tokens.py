@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+from array import array
 
-import numpy as np
 import public_tokenizers
 import regex
 
@@ -14,7 +14,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
 
 MODEL_FILE = "word_bpe_49k.json"
 END_ID = 1
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
+KEPT_PIECES = 150_000
 # A Latin-1 word with ASCII signs behind it: two pre-tokens, and the normaliser only lower-cases it.
 PLAIN = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -35,10 +36,11 @@ class WordTokenizer:
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.latest: list[list[str]] = []
 
     @staticmethod
     def _packed(encodings) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in encodings]
+        return [array("I", e.ids).tobytes() for e in encodings]
 
     def _learn(self, new: list[str]) -> None:
         plain, other = [], []
@@ -61,8 +63,17 @@ class WordTokenizer:
         cut = [t.split(" ") if t else [] for t in texts]
         self._learn(list(set().union(*cut).difference(self.pieces)))
         known = self.pieces.__getitem__
+        self.latest = cut
         return [b"".join(map(known, c)) for c in cut]
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps what its last block used, and no more, since other stages share its memory."""
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces = {p: self.pieces[p] for p in set().union(*self.latest)}
+        if len(self.parts) > KEPT_PIECES:
+            self.parts = {p: ids for p, ids in self.parts.items() if len(p) <= 6}
+        self.latest = []
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
