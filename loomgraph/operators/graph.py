@@ -58,16 +58,26 @@ def graph_roots(components: DataFrame, edges: DataFrame) -> DataFrame:
     return components.filter(~F.col("is_data_class")).join(out, "component_id", "left_semi").join(inn, "component_id", "left_anti")
 
 
-def canonical_cycles(edges: DataFrame, length: int = 4) -> DataFrame:
-    """Every simple cycle of at most `length` nodes, once, from its least node: edges(a, b) -> path."""
-    step = edges.filter("a <> b").select("a", "b").distinct()
+def canonical_cycles(edges: DataFrame) -> DataFrame:
+    """Every simple cycle, once, from its least node: edges(a, b) -> path.
+
+    Edges from a node without a way in, or to one without a way out, are taken off first, so a graph without cycles
+    leaves no path to follow; then paths grow by one self-join a step until none is open.
+    """
+    step = cut_lineage(edges.filter("a <> b").select("a", "b").distinct())
+    left, n = step.count(), -1
+    while left != n:
+        n = left
+        step = step.join(step.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(step.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        step = cut_lineage(step)
+        left = step.count()
     paths = step.filter("a < b").select(F.col("a").alias("head"), F.col("b").alias("last"), F.array("a", "b").alias("nodes"))
     found = []
-    for _ in range(length - 1):
+    while not found or not paths.isEmpty():
         closed = paths.join(step, (F.col("last") == step.a) & (F.col("head") == step.b))
         found.append(closed.select(F.concat("nodes", F.array("head")).alias("nodes")))
         grown = paths.join(step, F.col("last") == step.a).filter((F.col("b") > F.col("head")) & ~F.array_contains("nodes", F.col("b")))
-        paths = grown.select("head", F.col("b").alias("last"), F.concat("nodes", F.array("b")).alias("nodes"))
+        paths = cut_lineage(grown.select("head", F.col("b").alias("last"), F.concat("nodes", F.array("b")).alias("nodes")))
     return reduce(DataFrame.unionByName, found).select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), " -> ").alias("path"))
 
 

@@ -57,6 +57,15 @@ def test_cycles_by_walk(spark):
     assert [r.path for r in graph.back_edge_cycles(e).collect()] == [["A", "B", "A"]]
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(i, (i + 1) % 7) for i in range(7)] + [(7, 0), (6, 8), (8, 9), (3, 3)]
+    e = spark.createDataFrame(ring, "a long, b long")
+    cycles = graph.canonical_cycles(e)
+    assert [r.path for r in cycles.collect()] == ["0 -> 1 -> 2 -> 3 -> 4 -> 5 -> 6 -> 0"]
+    assert messages(rules.circular_dependencies(cycles)) == [("WARNING", "Circular dependency: 0 -> 1 -> 2 -> 3 -> 4 -> 5 -> 6 -> 0")]
+    assert graph.canonical_cycles(e.filter("a < b")).count() == 0
+
+
 def test_same_package_reference(spark):
     g = code(spark, [("A", "p"), ("Bé", "p"), ("A", "q"), ("Cc", "p")])
     texts = spark.createDataFrame([(0, "val x: Bé = Ccc // Cc"), (3, "// A\n/* A */ call(Bé)")], "component_id long, code_text string")
