@@ -22,6 +22,11 @@ def test_uncapped_cycles(spark, name):
     assert spark_rows(QUERIES[name](spark, SMALL)) == sql_rows(SMALL, whole)
 
 
+def test_build_edges_of_all_parts(spark):
+    whole = ORACLES["build_edges"].replace(" AND l_partkey % 7 = 0", "")
+    assert spark_rows(QUERIES["build_edges"](spark, SMALL)) == sql_rows(SMALL, whole)
+
+
 def test_entry(spark):
     import __spark_entry__
 
