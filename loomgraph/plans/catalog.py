@@ -422,14 +422,14 @@ register(
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Kotlin file for every part."""
+    """A Kotlin file for every part and supplier."""
     head = "CASE WHEN package_name = '' THEN '' ELSE concat('package ', package_name, '\\n\\n') END"
     word = "CASE component_id % 3 WHEN 0 THEN 'data class' WHEN 1 THEN 'class' ELSE 'interface' END"
     body = (
         f"concat({head}, 'import java.util.UUID\\nimport com.shop.supplier.S', component_id % 10, '\\n\\n@Service(\"x\")\\n', {word}, ' ', simple_name, '(val id: Int) : S', component_id % 10, "
         "'(id), Face {\\n  // fun no()\\n  fun m0() = helper(1)\\n  fun m1(): String { return \"}\" }\\n  val p = Made(\"{\")\\n}\\n')"
     )
-    return table(spark, sf_dir, COMPONENTS).filter("component_id < 1000000000").selectExpr("concat('/src/main/kotlin/', component_id, '.kt') AS path", "'kt' AS ext", f"{body} AS text")
+    return table(spark, sf_dir, COMPONENTS).selectExpr("concat('/src/main/kotlin/', component_id, '.kt') AS path", "'kt' AS ext", f"{body} AS text")
 
 
 _BASED = "b AS (SELECT *, '/src/main/kotlin/' || component_id || '.kt' AS file, CASE WHEN package_name = '' THEN 5 ELSE 7 END AS l FROM c0 WHERE component_id < 1000000000)"

@@ -27,6 +27,12 @@ def test_build_edges_of_all_parts(spark):
     assert spark_rows(QUERIES["build_edges"](spark, SMALL)) == sql_rows(SMALL, whole)
 
 
+@pytest.mark.parametrize("name", ["extract_symbols", "extract_refs", "extract_metadata"])
+def test_extraction_of_all_components(spark, name):
+    whole = ORACLES[name].replace(" WHERE component_id < 1000000000", "")
+    assert spark_rows(QUERIES[name](spark, SMALL)) == sql_rows(SMALL, whole)
+
+
 def test_entry(spark):
     import __spark_entry__
 
