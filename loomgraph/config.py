@@ -33,7 +33,6 @@ class EngineConfig:
     max_methods: int = 25
     max_lines: int = 1000
     min_depth: int = 3
-    depth_bound: int = 64
     cycle_findings: int = 10
     untested_before_summary: int = 10
     untested_preview: int = 5

@@ -118,10 +118,10 @@ def back_edge_cycles(edges: DataFrame) -> DataFrame:
     return live.groupBy("project").applyInPandas(walk, "project string, ord int, path array<string>")
 
 
-def inheritance_chains(graph: CodeGraph, bound: int = EngineConfig.depth_bound) -> DataFrame:
+def inheritance_chains(graph: CodeGraph) -> DataFrame:
     """(component_id, depth, chain): how far first supertypes lead through classes, and their names.
 
-    A functional graph, walked by one self-join a level until no walk goes on (at most `bound` levels).
+    A functional graph, walked by one self-join a level until no walk goes on; a name seen before ends a walk.
     """
     first = resolved_supertypes(graph).join(graph.supertypes.groupBy("component_id").agg(F.min("pos").alias("pos")).withColumnRenamed("component_id", "owner_id"), ["owner_id", "pos"])
     ids = graph.components.select("component_id", "simple_name", "qualified_name", "is_interface")
@@ -130,14 +130,12 @@ def inheritance_chains(graph: CodeGraph, bound: int = EngineConfig.depth_bound)
     parent = cut_lineage(parent)
     walks = ids.select("component_id", F.col("component_id").alias("at"), F.array("qualified_name").alias("seen"), F.array("simple_name").alias("names"))
     ended = []
-    for _ in range(bound):
+    while not ended or not walks.isEmpty():
         on = walks.join(parent, "at", "left")
         stop = F.col("target_id").isNull() | F.array_contains("seen", F.col("to_qualified"))
         ended.append(on.filter(stop).select("component_id", "names"))
         walks = on.filter(~stop).select("component_id", F.col("target_id").alias("at"), F.concat("seen", F.array("to_qualified")).alias("seen"), F.concat("names", F.array("to_name")).alias("names"))
         walks = cut_lineage(walks)
-        if walks.isEmpty():
-            break
     all_ = reduce(DataFrame.unionByName, ended)
     return all_.select("component_id", (F.size("names") - 1).cast("long").alias("depth"), F.array_join("names", " -> ").alias("chain"))
 

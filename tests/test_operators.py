@@ -91,6 +91,12 @@ def test_cyclic_inheritance_ends(spark):
     assert sorted((r.component_id, r.depth) for r in graph.inheritance_chains(g).collect()) == [(0, 1), (1, 1)]
 
 
+def test_long_inheritance_chain(spark):
+    n = 67
+    g = code(spark, [(f"K{i}", "p") for i in range(n)], supertypes=[(i, f"K{i - 1}") for i in range(1, n)])
+    assert {(r.component_id, r.depth) for r in graph.inheritance_chains(g).collect()} == {(i, i) for i in range(n)}
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("k", 1, 5), ("k", 2, 7), ("k", 3, 7)], "k string, o int, m int")
     assert first_per_key(df, ["k"], "o").first().o == 1 and last_per_key(df, ["k"], "o").first().o == 3 and argmax_first(df, ["k"], "m", "o").first().o == 2
