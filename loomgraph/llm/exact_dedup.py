@@ -23,6 +23,10 @@ def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def text_digest(text):
+    return F.sha2(normalised(text), 256)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = HEAVY_K, tracked: int = TRACKED) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -30,7 +34,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc_id ranks below every other; of rows that repeat a doc_id with the same text exactly one is kept. An empty
     table gives an empty result; other columns of `docs` are ignored.
     """
-    text_id = F.sha2(normalised(F.col(text_col)), 256)
+    text_id = text_digest(F.col(text_col))
     keys = staged(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), text_id.alias("text_sha256"), F.monotonically_increasing_id().alias("seq")),
         "digests",
@@ -59,19 +63,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def rows_of(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, whose doc_id has a kept decision (a null id like any other)."""
+def rows_of(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with a kept decision for their doc_id (a null id like any other) and text_sha256."""
     none = F.lit(-(1 << 63))
-    kept = decisions.filter("kept").select(F.coalesce(F.col("doc_id"), none).alias("__id")).distinct()
-    marked = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), none))
-    return marked.join(kept, "__id", "left_semi").drop("__id")
+    kept = decisions.filter("kept").select(F.coalesce(F.col("doc_id"), none).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("text_sha256").alias("__text")).distinct()
+    own = F.col(id_col).cast("long")
+    marked = docs.withColumn("__id", F.coalesce(own, none)).withColumn("__null", own.isNull()).withColumn("__text", text_digest(F.col(text_col)))
+    return marked.join(kept, ["__id", "__null", "__text"], "left_semi").drop("__id", "__null", "__text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that exact_dedup keeps: one for each text."""
-    kept = rows_of(docs, exact_dedup(docs, id_col, text_col), id_col)
+    kept = rows_of(docs, exact_dedup(docs, id_col, text_col), id_col, text_col)
     again = Window.partitionBy(id_col, "__text").orderBy("__text")
-    marked = kept.withColumn("__text", F.sha2(normalised(F.col(text_col)), 256))
+    marked = kept.withColumn("__text", text_digest(F.col(text_col)))
     return marked.withColumn("__n", F.row_number().over(again)).filter("__n = 1").drop("__n", "__text")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import connected_components
+from loomgraph.llm.exact_dedup import text_digest
 from loomgraph.llm.scratch import staged
 from loomgraph.llm.shipping import ship_package
 from loomgraph.llm.words import FOLD, Words, mix, rolling, texts_of, word_runs
@@ -101,7 +102,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             map_ends = pa.array(np.arange(j - i + 1, dtype=np.int32) * maps.shape[1])
             packed = [press.compress(data[x:y].tobytes()) if n else None for x, y, n in zip(bounds[i:j].tolist(), bounds[i + 1 : j + 1].tolist(), sizes.tolist(), strict=True)]
             cols = [b.column("seq").slice(i, j - i), b.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.ListArray.from_arrays(map_ends, pa.array(maps.reshape(-1))), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, [f.split(" ")[0] for f in SKETCH_SCHEMA.split(", ")])
+            more = b.schema.names[3:]
+            yield pa.RecordBatch.from_arrays(cols + [b.column(n).slice(i, j - i) for n in more], [*(f.split(" ")[0] for f in SKETCH_SCHEMA.split(", ")), *more])
 
 
 def overlaps(left: list[bytes], right: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +158,8 @@ def _may_link(x: str, y: str, percent: int):
     return F.expr(f"{sizes} and {apart} * {100 + percent} <= ({x}.size + {y}.size) * {100 - percent}")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept; keyed adds text_sha256, which rows_of needs.
 
     A-Z are lower-cased; a set holds the distinct `width`-word shingles, the whole sequence of a shorter text, and
     nothing for null, empty or blank text, which is linked with nothing and its own component. Documents are linked
@@ -167,7 +169,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship_package(docs.sparkSession)
     read = docs.select(F.monotonically_increasing_id().alias("seq"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = staged(read.mapInArrow(lambda x: _sketch(x, width), SKETCH_SCHEMA), "sketch")
+    key = ["text_sha256"] if keyed else []
+    if keyed:
+        read = read.withColumn("text_sha256", text_digest(F.col("text")))
+    sketch = staged(read.mapInArrow(lambda x: _sketch(x, width), SKETCH_SCHEMA + "".join(f", {k} string" for k in key)), "sketch")
     classes = staged(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("seq").alias("node"), F.min("doc_id").alias("least_doc")), "classes")
     bands = sketch.select(F.col("seq").alias("node"), "keys").join(classes.select("node"), "node").select("node", F.explode("keys").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
@@ -200,9 +205,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     by_digest = named.join(smallest, "component").select("digest", "component_id")
-    result = sketch.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
+    result = sketch.select("doc_id", "n_shingles", "digest", *key).join(by_digest, "digest", "left")
     ident = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", ident.alias("component_id"), F.col("doc_id").eqNullSafe(ident).alias("kept"))
+    return result.select("doc_id", "n_shingles", ident.alias("component_id"), F.col("doc_id").eqNullSafe(ident).alias("kept"), *key)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,12 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "A", "x"), (1, "a", "y"), (1, "a", "y"), (None, "b", None), (None, "b", None), (2, None, "z"), (3, "", "z")], "doc_id long, text string, __id2 string")
     assert sorted((str(r.doc_id), r.text) for r in drop_copies(df).collect()) in ([("1", "A"), ("3", ""), ("None", "b")], [("1", "a"), ("3", ""), ("None", "b")])
+
+
+def test_decisions_hold_for_the_row_not_for_its_id(spark):
+    df = spark.createDataFrame([(None, "b"), (None, "c"), (5, "c"), (6, "d"), (6, "e"), (7, "d")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in drop_copies(df).collect()) == [("5", "c"), ("6", "e"), ("7", "d"), ("None", "b")]
+    words = " ".join(f"w{i}" for i in range(60))
+    near = spark.createDataFrame([(3, words), (5, words + " end"), (5, "quite another text"), (None, words + " tail"), (None, "")], "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, near, MIDDLE).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("3", words), ("5", "quite another text"), ("None", "")]
