@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.byte_bpe import _blocks
+from loomgraph.llm.memory import give_back
 from loomgraph.llm.scratch import staged
 from loomgraph.llm.shipping import ship_package
 from loomgraph.llm.word_tokens import END_ID, MODEL_FILE, tokenizer
@@ -64,11 +65,26 @@ def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", matrix, vector)
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination with row pivots, without threads of a linear algebra library either."""
+    n = len(matrix)
+    both = np.concatenate((matrix, np.eye(n)), axis=1)
+    for c in range(n):
+        p = c + int(np.abs(both[c:, c]).argmax())
+        both[[c, p]] = both[[p, c]]
+        both[c] /= both[c, c]
+        factor = both[:, c].copy()
+        factor[c] = 0
+        both -= np.multiply.outer(factor, both[c])
+    return both[:, n:]
+
+
 def column_generation(units: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and their fractional counts that cover `demand` with the fewest sequences.
 
     A revised simplex: the basis starts from one-class patterns; each step enters the pattern the knapsack prices
-    above its cost of one, or the surplus of a class whose dual is negative.
+    above its cost of one, or the surplus of a class whose dual is negative. It ends when no pattern can gain more
+    than the share NEAR, or after MOST_STALLED steps without gain; the cover that it returns is whole in either case.
     """
     m = len(units)
     basis = np.diag((room // units).astype(float))
@@ -97,10 +113,10 @@ def column_generation(units: np.ndarray, demand: np.ndarray, room: int) -> tuple
         leave = int(ratio.argmin())
         basis[:, leave], cost[leave] = column, price
         if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         else:
             pivot = inverse[leave] / move[leave]
-            inverse -= np.outer(move, pivot)
+            inverse -= np.multiply.outer(move, pivot)
             inverse[leave] = pivot
         x = np.maximum(_times(inverse, demand), 0)
         total = float((cost * x).sum())
@@ -165,7 +181,7 @@ def _tokenised(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataF
                 ids += end
                 n = len(ids) // 4
                 if fill and n <= CAPACITY:
-                    out.append((part, n, [], 0, None, None, 0, None, fill_from, np.frombuffer(ids, "<u4").astype("<u2").tobytes()))
+                    out.append((part, n, [], 0, None, None, 0, None, fill_from, ids))
                     fill_from += n
                     continue
                 crcs = [zlib.crc32(ids[i : i + 4 * CAPACITY]) for i in range(0, len(ids) - 4 * CAPACITY + 1, 4 * CAPACITY)]
@@ -178,6 +194,7 @@ def _tokenised(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataF
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *cols], [f.split(" ")[0] for f in ITEM_SCHEMA.split(", ")])
         tokenizer(model).rest()
+        give_back()
 
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     read = docs.select(ident.alias("doc_id"), text.alias("text"), F.spark_partition_id().alias("part"), (F.pmod(F.xxhash64(ident, text), F.lit(FILLER_EVERY)) == 0).alias("fill"))
@@ -273,7 +290,7 @@ def pack_documents(docs: DataFrame, model: str = MODEL_FILE, id_col: str = "doc_
     span = F.sequence(F.floor(F.col("at") / STREAM_BLOCK), F.floor((F.col("at") + F.col("doc_tokens") - 1) / STREAM_BLOCK))
     filler = filler.withColumn("block", F.explode(span)).withColumn("from", F.greatest(F.col("block") * STREAM_BLOCK - F.col("at"), F.lit(0)).cast("long"))
     filler = filler.withColumn("to", F.least((F.col("block") + 1) * STREAM_BLOCK - F.col("at"), F.col("doc_tokens")).cast("long"))
-    filler = filler.select("block", "doc_id", "doc_tokens", "from", (F.col("at") + F.col("from")).alias("at"), F.expr("substring(ids, cast(2 * `from` + 1 as int), cast(2 * (`to` - `from`) as int))").alias("ids"))
+    filler = filler.select("block", "doc_id", "doc_tokens", "from", (F.col("at") + F.col("from")).alias("at"), F.expr("substring(ids, cast(4 * `from` + 1 as int), cast(4 * (`to` - `from`) as int))").alias("ids"))
     cuts = _stream_cuts(n_gap, n_fill, n_packed + n_full)
 
     def fill(stream: pd.DataFrame, room: pd.DataFrame) -> pd.DataFrame:
@@ -302,7 +319,7 @@ def _fill_block(stream: pd.DataFrame, room: pd.DataFrame, cuts: tuple) -> pd.Dat
     if not len(stream):
         return pd.DataFrame({c: pd.Series([], dtype="int64") for c in PIECE})
     stream = stream.sort_values("at")
-    low, high = int(stream["at"].iloc[0]), int(stream["at"].iloc[-1] + len(stream["ids"].iloc[-1]) // 2)
+    low, high = int(stream["at"].iloc[0]), int(stream["at"].iloc[-1] + len(stream["ids"].iloc[-1]) // 4)
     targets = [(int(a), int(a + g), int(s), int(u)) for a, g, s, u in room[["at", "gap", "sequence_id", "used"]].sort_values("at").itertuples(index=False)]
     k = max(0, low - begin) // CAPACITY
     while begin + k * CAPACITY < min(high, end):
@@ -311,7 +328,7 @@ def _fill_block(stream: pd.DataFrame, room: pd.DataFrame, cuts: tuple) -> pd.Dat
     targets += [(a, b, s, 0) for a, b, s in tail if a < high and b > low]
     out, t = [], 0
     for doc_id, doc_tokens, start, at, raw in stream[["doc_id", "doc_tokens", "from", "at", "ids"]].itertuples(index=False):
-        ids = np.frombuffer(raw, "<u2").astype("<u4")
+        ids = np.frombuffer(raw, "<u4")
         pos, stop = int(at), int(at) + len(ids)
         while pos < stop:
             while targets[t][1] <= pos:

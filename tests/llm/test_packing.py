@@ -2,17 +2,22 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from loomgraph.llm import packing
-from loomgraph.llm.word_tokens import END_ID, MODEL_FILE, tokenizer
+from loomgraph.llm.word_tokens import END_ID, MODEL_FILE
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 CAP = packing.CAPACITY
 
 
+LIBRARY = Tokenizer.from_file(public_tokenizers.path(MODEL_FILE))
+
+
 def ids_of(text):
-    return np.append(np.frombuffer(tokenizer(MODEL_FILE).encode([text])[0], "<u4"), np.array([END_ID], "<u4")).astype("<u4")
+    return np.array(LIBRARY.encode(text or "", add_special_tokens=False).ids + [END_ID], "<u4")
 
 
 def check(pieces, docs):

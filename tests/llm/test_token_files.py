@@ -11,13 +11,11 @@ from loomgraph.llm import token_files as tf
 from loomgraph.llm.word_tokens import END_ID, MODEL_FILE, tokenizer
 
 SMALL = "/root/testdata/sf0.001"
-EDGES = ["", None, "Ａ é É İstanbul ΣΑΣ. <|endoftext|>", "a  b\n c d", "it's I'LL 12a_b", "ǅ é ́x", " ' 's 'S", "word " * 9000]
+EDGES = ["", None, "Ａ é É İstanbul ΣΑΣ. <|endoftext|>", "<|endoftext|> a<|startoftext|>b <|END", "one.\nTwo\r\nthree\x1cfour\u2028five", "a  b\n c d", "it's I'LL 12a_b", "ǅ é ́x", " ' 's 'S", "word " * 9000]
 
 
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path(MODEL_FILE))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(MODEL_FILE))
 
 
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, tf.BLOCK, tf.BLOCK + 1, 100_000])
@@ -66,9 +64,9 @@ def test_query_against_library(spark):
 
 
 def test_edges(spark):
-    rows = [(i, t, 5) for i, t in enumerate(EDGES)] + [(None, "z", 5), (3, "again", 5), (3, "a  b\n c d", 5)]
+    rows = [(i, t, 5) for i, t in enumerate(EDGES)] + [(None, "z", 5), (3, "again", 5), (3, EDGES[3], 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, part int")
     got = sorted(tf.read_token_files(tf.write_token_files(df, container_tokens=50)).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got] == [None, 0, 1, 2, 3, 3, 3, 4, 5, 6, 7]
+    assert [r.doc_id for r in got] == [None, 0, 1, 2, 3, 3, 3, 4, 5, 6, 7, 8, 9]
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False)) and got[0].start == 0
     assert tf.read_token_files(tf.write_token_files(df.limit(0))).count() == 0
