@@ -2,11 +2,11 @@
 
 A window is WINDOW consecutive words of one text. Its minimiser is the least hash among its runs of MINIMISER words,
 and consecutive windows with one minimiser travel as one packed string (a super-k-mer) to that minimiser's bucket,
-so every copy of a window reaches the same bucket. There windows are sorted by hash, equal ones are verified word by
-word, and each learns the smallest doc_id that holds it.
+so every copy of a window reaches the same bucket. There windows are sorted by hash, equal ones are verified by the
+64-bit hashes of all their words, and each learns the smallest doc_id that holds it.
 
 Skew: a super-k-mer that a task has already sent for a smaller doc_id is decided on the spot and not sent again, so
-copies collapse before the shuffle; and word runs that a sample shows to be very frequent (a bounded list, used only
+copies, and rows that repeat a doc_id and a text, collapse before the shuffle; and word runs that a sample shows to be very frequent (a bounded list, used only
 to balance buckets) come last in the minimiser order, so the windows around a common passage spread by their context.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from loomgraph.llm.memory import give_back
 from loomgraph.llm.scratch import staged
 from loomgraph.llm.shipping import ship_package
 from loomgraph.llm.words import BASE, BASE_INVERSE, Words, ids_of, mix, powers, rolling, word_runs
@@ -95,6 +96,7 @@ class _Sender:
     def __init__(self, n_buckets: int, frequent: np.ndarray):
         self.n_buckets, self.frequent = n_buckets, frequent
         self.seen: dict[bytes, int] = {}
+        self.rows: set[int] = set()
         self.press = zstandard.ZstdCompressor(level=3)
         self.reset()
 
@@ -103,10 +105,24 @@ class _Sender:
         self.decided: list[tuple] = []
         self.bytes = 0
 
+    def _new(self, key: np.ndarray) -> np.ndarray:
+        """False for rows whose doc_id and text this task has had before: their ranges are the same."""
+        if len(self.rows) > SEEN_MOST:
+            self.rows.clear()
+        out = np.ones(len(key), bool)
+        for i, k in enumerate(key.tolist()):
+            out[i] = k not in self.rows
+            self.rows.add(k)
+        return out
+
     def add(self, w: Words, doc: np.ndarray, key: np.ndarray) -> None:
         first, count, rank = super_kmers(w, self.frequent)
         if not len(first):
             return
+        new = self._new(key)
+        if not new.all():
+            own = new[w.owner[first]]
+            first, count, rank = first[own], count[own], rank[own]
         pack = Packed(w)
         owner = w.owner[first]
         place = first - w.first[owner]
@@ -164,8 +180,8 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def first_holders(h: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For the windows of words h that start at `at` (ascending): the smallest doc among equal windows.
 
-    Windows are grouped by sorting a hash of their words; each is then compared with its group's leader, word by
-    word where a run of matches begins and by its last word where the run goes on. Groups that a hash collision
+    Windows are grouped by sorting a hash of their words; each is then compared with its group's leader, word hash by
+    word hash where a run of matches begins and by its last word where the run goes on. Groups that a hash collision
     joined are regrouped by their words.
     """
     total = np.zeros(len(h) + 1, np.uint64)
@@ -220,7 +236,7 @@ def _judge(blobs: list[bytes]) -> np.ndarray:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ident = F.col(id_col).cast("long")
-    return docs.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("row_key"), text.alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest"))
+    return docs.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("row_key"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"))
 
 
 def _size(df: DataFrame) -> int:
@@ -267,6 +283,8 @@ def duplicate_ranges(keyed: DataFrame, n_buckets: int | None = None) -> DataFram
                 if out.bytes > FLUSH_BYTES:
                     yield from out.flush()
         yield from out.flush()
+        del out
+        give_back()
 
     def judge(table: pa.Table) -> pa.Table:
         blobs: dict[int, list[bytes]] = {0: [], 1: []}
@@ -298,7 +316,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = StructType([*_parse_datatype_string(OUT_SCHEMA).fields, *([keyed.schema["rest"]] if verbatim else [])])
     carried = ["rest"] if verbatim else []
     key = [F.coalesce(F.col("doc_id"), F.lit(int(LAST))).alias("k"), "row_key"]
-    ranges = duplicate_ranges(keyed.drop("rest"), n_buckets).groupBy(*key).agg(F.collect_list("start").alias("starts"), F.collect_list("n_windows").alias("counts"))
+    # rows that repeat a doc_id and a text give the same ranges: one list for all of them, no longer than the text
+    ranges = duplicate_ranges(keyed.drop("rest"), n_buckets).groupBy(*key, "start").agg(F.max("n_windows").alias("n_windows"))
+    ranges = ranges.groupBy("k", "row_key").agg(F.collect_list(F.struct("start", "n_windows")).alias("r"))
+    ranges = ranges.select("k", "row_key", F.col("r").getField("start").alias("starts"), F.col("r").getField("n_windows").alias("counts"))
     joined = keyed.select(*key, "doc_id", "text", *carried).join(ranges, ["k", "row_key"], "left").select("doc_id", "text", "starts", "counts", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,10 +346,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return result if with_text else result.drop("kept_text")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with repeated windows taken out of their text."""
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of docs, all columns, with repeated windows taken out of their text; a text that loses none is unchanged.
+
+    length_col, if given and present, becomes the number of characters of a text that lost some.
+    """
     kept = remove_repeats(docs, id_col, text_col, verbatim=True)
-    return kept.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], F.col("n_removed").alias("__removed"))
+
+    def shown(c: str):
+        own = F.col(f"rest.`{c}`")
+        return F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(own) if c == length_col else own
+
+    return kept.select(*[(F.col("kept_text") if c == text_col else shown(c)).alias(c) for c in docs.columns])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
