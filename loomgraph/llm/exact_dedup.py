@@ -2,8 +2,8 @@
 
 One scan turns every text into a digest. A Misra-Gries style frequent-items sketch over the digests proposes the
 few that may be hot; their groups are counted exactly, and those verified winners (never more than `k` rows) are
-broadcast, so rows of hot groups get their decision on the map side. All other digests, each below the sketch's
-error bound, go through one ordinary shuffle.
+broadcast, so rows of hot groups get their decision on the map side. All other digests go through one ordinary
+shuffle; of n rows, a digest that is not among the `k` holds at most n / (k + 1), give or take the sketch's error.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.scratch import staged
+from loomgraph.llm.scratch import fresh, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HEAVY_K = 128
+HEAVY_K = 1024
 TRACKED = 8192
 
 
@@ -64,20 +64,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def rows_of(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with a kept decision for their doc_id (a null id like any other) and text_sha256."""
-    none = F.lit(-(1 << 63))
-    kept = decisions.filter("kept").select(F.coalesce(F.col("doc_id"), none).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("text_sha256").alias("__text")).distinct()
-    own = F.col(id_col).cast("long")
-    marked = docs.withColumn("__id", F.coalesce(own, none)).withColumn("__null", own.isNull()).withColumn("__text", text_digest(F.col(text_col)))
-    return marked.join(kept, ["__id", "__null", "__text"], "left_semi").drop("__id", "__null", "__text")
+    """One row of docs, all columns, for each doc_id (a null id like any other) and text_sha256 with a kept decision.
+
+    Rows that repeat both are collapsed before the shuffle, and the decisions meet them in that same shuffle.
+    """
+    ident, none, text = (fresh(docs.columns, c) for c in ("row_id", "row_null", "row_text"))
+    own, low = F.col(id_col).cast("long"), F.lit(-(1 << 63))
+    kept = decisions.filter("kept").select(F.coalesce("doc_id", low).alias(ident), F.col("doc_id").isNull().alias(none), F.col("text_sha256").alias(text))
+    marked = docs.withColumn(ident, F.coalesce(own, low)).withColumn(none, own.isNull()).withColumn(text, text_digest(F.col(text_col)))
+    key = [ident, none, text]
+    return marked.dropDuplicates(key).join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that exact_dedup keeps: one for each text."""
-    kept = rows_of(docs, exact_dedup(docs, id_col, text_col), id_col, text_col)
-    again = Window.partitionBy(id_col, "__text").orderBy("__text")
-    marked = kept.withColumn("__text", text_digest(F.col(text_col)))
-    return marked.withColumn("__n", F.row_number().over(again)).filter("__n = 1").drop("__n", "__text")
+    return rows_of(docs, exact_dedup(docs, id_col, text_col), id_col, text_col)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
