@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from loomgraph.llm.scratch import staged
 
 MOST_ROUNDS = 60
+HOT_KEYS = 1000
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """many joined to the row that `one` has for each key; one.n counts the rows of `many` that share the key.
+
+    Of `total` rows at most HOT_KEYS keys can hold more than 1 / HOT_KEYS of them each: those rows of `one` are
+    broadcast, so that no task gets all rows of a hot key; the others meet in an ordinary shuffle.
+    """
+    hot = F.col("n") * HOT_KEYS > total
+    few = one.filter(hot).drop("n")
+    rest = many.join(F.broadcast(few.select(key)), key, "left_anti").join(one.filter(~hot).drop("n"), key)
+    return many.join(F.broadcast(few), key).unionByName(rest)
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -15,17 +28,17 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return hot_join(both.filter("v > u"), least, "u", 2 * n_edges).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of those (edges: u > v)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    tied = hot_join(edges, least, "u", n_edges).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -40,7 +53,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not seen[0]:
             break
-        edges = staged(_small_star(_large_star(edges)), "edges")
+        starred = staged(_large_star(edges, seen[0]), "starred")
+        edges = staged(_small_star(starred, starred.count()), "edges")
         now = _fingerprint(edges)
         if now == seen:
             break

@@ -21,8 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.components import connected_components
+from loomgraph.llm.components import connected_components, hot_join
 from loomgraph.llm.exact_dedup import text_digest
+from loomgraph.llm.memory import give_back
 from loomgraph.llm.scratch import staged
 from loomgraph.llm.shipping import ship_package
 from loomgraph.llm.words import FOLD, Words, mix, rolling, texts_of, word_runs
@@ -104,6 +105,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             cols = [b.column("seq").slice(i, j - i), b.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.ListArray.from_arrays(map_ends, pa.array(maps.reshape(-1))), pa.array(packed, pa.binary())]
             more = b.schema.names[3:]
             yield pa.RecordBatch.from_arrays(cols + [b.column(n).slice(i, j - i) for n in more], [*(f.split(" ")[0] for f in SKETCH_SCHEMA.split(", ")), *more])
+    give_back()
 
 
 def overlaps(left: list[bytes], right: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +144,7 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, most: int = 1 << 20)
             both, union = overlaps(left[i:j], right[i:j], width)
             yield pa.RecordBatch.from_arrays([b.column("a").slice(i, j - i), b.column("b").slice(i, j - i), pa.array(both, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "both", "whole"])
             i = j
+    give_back()
 
 
 def confirm(pairs: DataFrame, sketch: DataFrame, width: int, label: str) -> DataFrame:
@@ -173,7 +176,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if keyed:
         read = read.withColumn("text_sha256", text_digest(F.col("text")))
     sketch = staged(read.mapInArrow(lambda x: _sketch(x, width), SKETCH_SCHEMA + "".join(f", {k} string" for k in key)), "sketch")
-    classes = staged(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("seq").alias("node"), F.min("doc_id").alias("least_doc")), "classes")
+    classes = staged(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("seq").alias("node"), F.min("doc_id").alias("least_doc"), F.count("*").alias("n")), "classes")
     bands = sketch.select(F.col("seq").alias("node"), "keys").join(classes.select("node"), "node").select("node", F.explode("keys").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     members = staged(bands.join(pivots, "key"), "members")
@@ -203,11 +206,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = connected_components(links.unionByName(more))
 
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-    by_digest = named.join(smallest, "component").select("digest", "component_id")
-    result = sketch.select("doc_id", "n_shingles", "digest", *key).join(by_digest, "digest", "left")
-    ident = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", ident.alias("component_id"), F.col("doc_id").eqNullSafe(ident).alias("kept"), *key)
+    named = staged(named.select("digest", "least_doc", "component", F.col("n").alias("copies")), "named")
+    smallest = named.groupBy("component").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("n"))
+    sizes = named.agg(F.count("*"), F.sum("copies")).first()
+    by_digest = hot_join(named, smallest, "component", sizes[0]).select("digest", "component_id", F.col("copies").alias("n"))
+    rows = sketch.select("doc_id", "n_shingles", "digest", *key)
+    linked_rows = hot_join(rows.filter("n_shingles > 0"), staged(by_digest, "by-digest"), "digest", sizes[1] or 0)
+    alone = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    result = linked_rows.unionByName(alone)
+    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *key)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
