@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph.llm.exact_dedup import drop_copies, rows_of
 from loomgraph.llm.near_dedup import near_components
@@ -30,8 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows that a document of a smaller doc_id holds too are taken out; a text that loses none is unchanged."""
-    cut = without_repeats(docs)
-    return cut.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__removed")
+    return without_repeats(docs, length_col="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
