@@ -1,9 +1,12 @@
 """Quality rules: base counts per document, then robust multivariate outliers within each language and source.
 
 Statistics of a document become a vector; in every (lang, source) group the minimum covariance determinant gives a
-robust centre and scatter, and a document whose Mahalanobis distance passes a chi-square cut-off is rejected. The
-estimate is distributed: each concentration step is one aggregation of moments per group over all rows, so no group
-is ever gathered, and only group-sized tables (centre, scatter) travel between steps.
+robust centre and scatter, and a document whose Mahalanobis distance passes a cut is rejected. The cut is a chi-square
+quantile, brought to the scale of the group by the median of its distances.
+
+The estimate is distributed: concentration steps run from several starts, the start of the least determinant goes on
+until its determinant settles. A step is two aggregations per group over all distinct vectors (copies of a document
+count once), so no group is ever gathered, and only group-sized tables (centre, scatter) travel between steps.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +25,10 @@ from loomgraph.llm.words import BASE, BASE_INVERSE, SPACE, Words, mix, powers, r
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
-STAT_SCHEMA = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+SIGNS = np.zeros(256, bool)
+SIGNS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+NEAR = 50
+STAT_SCHEMA = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_signs long, n_near long"
 
 
 def _per_document(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -74,14 +81,23 @@ def _repeated_words(w: Words, n: int = 3) -> np.ndarray:
     return np.bincount(owner[covered], minlength=w.n_docs)
 
 
+def _near_words(w: Words, span: int = NEAR) -> np.ndarray:
+    """Per document: words equal to one of the `span` words before them."""
+    owner = w.owner
+    keys = mix(w.hashes() ^ mix(owner.astype(np.uint64) + np.uint64(7)))
+    order = np.argsort(keys, kind="stable")
+    near = (keys[order[1:]] == keys[order[:-1]]) & (order[1:] - order[:-1] <= span)
+    return np.bincount(owner[order[1:][near]], minlength=w.n_docs)
+
+
 def text_statistics(column: pa.Array) -> pa.StructArray:
     """The counts of STAT_SCHEMA for each text of a column."""
     out = []
     for _, _, w in word_runs(column):
         points = ((w.data & 0xC0) != 0x80) & ~SPACE[w.data]
         lines, again = _line_counts(w)
-        out.append(np.stack([w.counts, _per_document(points, w.bounds), _per_document(SYMBOLS[w.data], w.bounds), lines, again, _repeated_words(w)]))
-    table = np.concatenate(out, axis=1).astype(np.int64) if out else np.zeros((6, 0), np.int64)
+        out.append(np.stack([w.counts, _per_document(points, w.bounds), _per_document(SYMBOLS[w.data], w.bounds), lines, again, _repeated_words(w), _per_document(SIGNS[w.data], w.bounds), _near_words(w)]))
+    table = np.concatenate(out, axis=1).astype(np.int64) if out else np.zeros((8, 0), np.int64)
     names = [f.split(" ")[0] for f in STAT_SCHEMA.split(", ")]
     return pa.StructArray.from_arrays([pa.array(x) for x in table], names)
 
@@ -93,15 +109,18 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + stats.flatten(), kept + [f.name for f in stats.type])
 
 
-FEATURES = ["f_symbols", "f_length", "f_lines", "f_repeats"]
-# Smallest spread that counts as natural for each feature, in its own unit; added to the scatter's diagonal.
-FLOORS = [0.05, 0.12, 0.12, 0.10]
+FEATURES = ["f_length", "f_signs", "f_near", "f_lines"]
 P = len(FEATURES)
 COVER = 0.75
-CUT = 23.51  # chi-square with four degrees of freedom, probability 0.9999
-MIN_GROUP = 50
-STEPS = 5
-GRID = 256
+MEDIAN = 3.3567  # chi-square with four degrees of freedom, probability 0.5
+CUT = 33.377  # and probability 0.999999
+# Least variance in any direction: far below that of prose (its smallest is about 4e-4), so only exact fits meet it.
+LEAST_VARIANCE = 1e-5
+STARTS = 3
+FIRST_STEPS = 2
+MOST_STEPS = 30
+SETTLED = 1e-3
+MIN_GROUP = 100
 BROADCAST_GROUPS = 20_000
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -117,20 +136,20 @@ def _consistency(cover: float) -> float:
 
 
 def _features(df: DataFrame) -> DataFrame:
-    """Transformed statistics: log symbols a word, word length shrunk for short texts, shares of lines and of words."""
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    """Logarithms of letters a word, signs a word, share of words just used and words a line, each drawn a little to what is usual."""
+    words = F.col("n_words").cast("double")
     return df.withColumns(
         {
-            "f_symbols": F.log1p(F.col("n_symbols") / words),
             "f_length": F.log((F.col("word_chars") + 600.0) / (words + 120.0)),
-            "f_lines": F.col("n_dup_lines") / (F.greatest(F.col("n_lines"), F.lit(1)) + 2.0),
-            "f_repeats": F.col("n_repeat_words") / (words + 20.0),
+            "f_signs": F.log((F.col("n_signs") + 12.0) / (words + 120.0)),
+            "f_near": F.log((F.col("n_near") + 12.0) / (words + 120.0)),
+            "f_lines": F.log((words + 60.0) / (F.col("n_lines") + 6.0)),
         }
     )
 
 
-def _with_groups(df: DataFrame, groups: DataFrame, size: int) -> DataFrame:
-    return df.join(F.broadcast(groups) if size <= BROADCAST_GROUPS else groups, "grp")
+def _with_groups(df: DataFrame, groups: DataFrame, size: int, keys: list[str] | None = None) -> DataFrame:
+    return df.join(F.broadcast(groups) if size <= BROADCAST_GROUPS else groups, keys or ["grp"])
 
 
 def _distance() -> Column:
@@ -138,29 +157,26 @@ def _distance() -> Column:
     return sum((d[i] * d[j] * F.col(f"w{i}{j}") * (1.0 if i == j else 2.0) for i, j in PAIRS), F.lit(0.0))
 
 
-MODEL_SCHEMA = "grp string, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"w{i}{j} double" for i, j in PAIRS)
+MODEL_SCHEMA = "grp string, start int, det double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"w{i}{j} double" for i, j in PAIRS)
+
 
+def _models(grp, start, mean: np.ndarray, cov: np.ndarray, factor: float) -> pd.DataFrame:
+    """Rows of MODEL_SCHEMA: determinant of the scatter, centre, inverse of the scatter times `factor`."""
+    size, axes = np.linalg.eigh(cov)
+    size = np.maximum(size, LEAST_VARIANCE)
+    inverse = np.einsum("nik,nk,njk->nij", axes, 1 / (size * factor), axes)
+    out = {"grp": grp, "start": start, "det": size.prod(1)} | {f"m{i}": mean[:, i] for i in range(P)} | {f"w{i}{j}": inverse[:, i, j] for i, j in PAIRS}
+    return pd.DataFrame(out)
 
-def _invert(batches, factor):
-    """Moments of each group's inner rows -> centre and inverse scatter, floors added."""
+
+def _from_moments(batches: Iterator[pd.DataFrame], factor: float) -> Iterator[pd.DataFrame]:
     for t in batches:
         n = np.maximum(t["n"].to_numpy(float), 1.0)
         mean = np.stack([t[f"s{i}"].to_numpy(float) for i in range(P)], 1) / n[:, None]
         cov = np.zeros((len(t), P, P))
         for i, j in PAIRS:
             cov[:, i, j] = cov[:, j, i] = t[f"q{i}{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
-        inverse = np.linalg.inv(cov * factor + np.diag(np.square(FLOORS))) if len(t) else cov
-        out = t[["grp"]].copy()
-        for i in range(P):
-            out[f"m{i}"] = mean[:, i]
-        for i, j in PAIRS:
-            out[f"w{i}{j}"] = inverse[:, i, j]
-        yield out
-
-
-def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in PAIRS]
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), *sums).mapInPandas(lambda b: _invert(b, factor), MODEL_SCHEMA)
+        yield _models(t["grp"], t["start"], mean, cov, factor)
 
 
 def _quantile_bin(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -170,28 +186,80 @@ def _quantile_bin(counts: DataFrame, keys: list[str], share: float) -> DataFrame
     return counts.withColumn("reached", run >= F.ceil(F.sum("n").over(w) * F.lit(share))).filter("reached").groupBy(*keys).agg(F.min("bin").alias("bin"))
 
 
+def _binned(rows: DataFrame, model: DataFrame, size: int) -> DataFrame:
+    """rows with the bin of their distance: 64 bins to a factor of e, 2048 in all."""
+    return _with_groups(rows, model, size).select("grp", "start", *FEATURES, F.least(F.floor((F.log(_distance() + 1e-9) + 21.0) * 64), F.lit(2047)).alias("bin"))
+
+
+def _concentrated(rows: DataFrame, model: DataFrame, size: int, factor: float) -> DataFrame:
+    """One concentration step: the moments of the COVER share of rows that are nearest to the model."""
+    near = _binned(rows, model, size)
+    cut = _quantile_bin(near.groupBy("grp", "start", "bin").agg(F.count("*").alias("n")), ["grp", "start"], COVER).withColumnRenamed("bin", "cut")
+    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in PAIRS]
+    inner = _with_groups(near, cut, size, ["grp", "start"]).filter("bin <= cut")
+    return inner.groupBy("grp", "start").agg(F.count("*").alias("n"), *sums).mapInPandas(lambda b: _from_moments(b, factor), MODEL_SCHEMA)
+
+
+def _first_models(rows: DataFrame, size: int) -> DataFrame:
+    """STARTS models a group, all from its medians and median deviations: no correlation, that of clipped values, that of signs."""
+    middle = rows.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 2000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
+    middle = staged(middle, "medians")
+    off = [F.abs(F.col(f) - F.col(f"m{i}")) for i, f in enumerate(FEATURES)]
+    spread = _with_groups(rows, middle, size).groupBy("grp").agg(*[F.percentile_approx(d, 0.5, 2000).alias(f"d{i}") for i, d in enumerate(off)])
+    scale = staged(middle.join(spread, "grp"), "spreads")
+    least = LEAST_VARIANCE**0.5
+    z = [(F.col(f) - F.col(f"m{i}")) / F.greatest(F.col(f"d{i}") * 1.4826, F.lit(least)) for i, f in enumerate(FEATURES)]
+    clipped = [F.greatest(F.least(v, F.lit(1.5)), F.lit(-1.5)) for v in z]
+    sums = [F.avg(clipped[i] * clipped[j]).alias(f"c{i}{j}") for i, j in PAIRS] + [F.avg(F.signum(z[i]) * F.signum(z[j])).alias(f"g{i}{j}") for i, j in PAIRS]
+    seen = _with_groups(rows, scale, size).groupBy("grp").agg(*sums).join(scale, "grp")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            mean = np.stack([t[f"m{i}"].to_numpy(float) for i in range(P)], 1)
+            sd = np.maximum(np.stack([t[f"d{i}"].to_numpy(float) for i in range(P)], 1) * 1.4826, least)
+            for start in range(STARTS):
+                corr = np.tile(np.eye(P), (len(t), 1, 1))
+                for i, j in PAIRS if start else []:
+                    if i != j and start == 1:
+                        r = t[f"c{i}{j}"] / np.sqrt(np.maximum(t[f"c{i}{i}"] * t[f"c{j}{j}"], 1e-12))
+                    elif i != j:
+                        r = np.sin(np.pi / 2 * t[f"g{i}{j}"])
+                    else:
+                        continue
+                    corr[:, i, j] = corr[:, j, i] = np.clip(r, -0.99, 0.99)
+                yield _models(t["grp"], np.full(len(t), start), mean, corr * sd[:, :, None] * sd[:, None, :], 1.0)
+
+    return staged(seen.mapInPandas(run, MODEL_SCHEMA), "mcd")
+
+
 def mcd_models(rows: DataFrame) -> DataFrame:
-    """Centre and inverse scatter of each `grp`, by concentration steps from the median (rows: grp and FEATURES).
+    """Per `grp`: centre, inverse scatter, its determinant before the consistency factor, and cut (rows: grp and FEATURES).
 
-    A step keeps the COVER share of a group's rows that lie nearest to the present centre, the cut found in a
-    histogram of distances (512 bins of their logarithm), and takes their moments. All rows take part in every step.
+    A step keeps the COVER share of a group's distinct vectors that lie nearest to the present centre and takes their
+    moments; all vectors take part in every step. Every start makes FIRST_STEPS of them, the one of the least
+    determinant goes on until no group's determinant changes by more than the share SETTLED (MOST_STEPS at most).
     """
+    rows = staged(rows.distinct(), "vectors")
     size = rows.select("grp").distinct().count()
-    long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(f) * GRID).alias("bin")) for i, f in enumerate(FEATURES)])).alias("x"))
-    counts = long.select("grp", "x.dim", "x.bin").groupBy("grp", "dim", "bin").agg(F.count("*").alias("n"))
-    centre = _quantile_bin(counts, ["grp", "dim"], 0.5).groupBy("grp").pivot("dim", list(range(P))).agg(F.first("bin"))
-    start = {f"m{i}": (F.col(str(i)) + 0.5) / GRID for i in range(P)} | {f"w{i}{j}": F.lit(1.0 / FLOORS[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
-    model = staged(centre.select("grp", *[c.alias(k) for k, c in start.items()]), "mcd")
     factor = _consistency(COVER)
-    for _ in range(STEPS):
-        near = _with_groups(rows, model, size).select("grp", *FEATURES, F.least(F.floor((F.log(_distance() + 1e-6) + 14.0) * 16), F.lit(511)).alias("bin"))
-        cut = _quantile_bin(near.groupBy("grp", "bin").agg(F.count("*").alias("n")), ["grp"], COVER).withColumnRenamed("bin", "cut")
-        model = staged(_moments(_with_groups(near, cut, size).filter("bin <= cut"), factor), "mcd")
-    return model
+    model = _first_models(rows, size)
+    for _ in range(FIRST_STEPS):
+        model = staged(_concentrated(rows, model, STARTS * size, factor), "mcd")
+    best = Window.partitionBy("grp").orderBy("det", "start")
+    model = staged(model.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"), "mcd")
+    for _ in range(MOST_STEPS):
+        after = staged(_concentrated(rows, model, size, factor), "mcd")
+        moved = after.join(model.select("grp", F.col("det").alias("before")), "grp").agg(F.max(F.abs(F.col("det") / F.col("before") - 1))).first()[0]
+        model = after
+        if (moved or 0) <= SETTLED:
+            break
+    middle = _quantile_bin(_binned(rows, model, size).groupBy("grp", "bin").agg(F.count("*").alias("n")), ["grp"], 0.5)
+    scaled = F.exp((F.col("bin") + 0.5) / 64 - 21.0) / MEDIAN * CUT
+    return staged(model.join(middle.select("grp", scaled.alias("cut")), "grp").drop("start"), "mcd")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, n_words, the four counts, base_failed, kept, distance.
+    """One row per input row: doc_id, n_words, the four counts, base_failed, kept, distance, cut.
 
     Rows that fail a base rule take no part in the estimates and are not kept. A (lang, source) group of fewer than
     MIN_GROUP rows is pooled with its language's other small groups, and those below MIN_GROUP with each other. Null
@@ -222,8 +290,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     models = mcd_models(rows.select("grp", *FEATURES))
     judged = _with_groups(rows, models, n_named).withColumn("distance", _distance())
-    return judged.select(*out, (F.col("distance") <= CUT).alias("kept"), "distance").unionByName(
-        stats.filter("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
+    none = F.lit(None).cast("double")
+    return judged.select(*out, (F.col("distance") <= F.col("cut")).alias("kept"), "distance", "cut").unionByName(
+        stats.filter("base_failed").select(*out, F.lit(False).alias("kept"), none.alias("distance"), none.alias("cut"))
     )
 
 

@@ -21,7 +21,8 @@ def brute(text):
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     count = Counter(grams)
     covered = {i + k for i, g in enumerate(grams) if count[g] > 1 for k in range(3)}
-    return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), lines, again, len(covered)]
+    near = sum(word in words[max(0, i - 50) : i] for i, word in enumerate(words))
+    return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), lines, again, len(covered), len(re.findall(r"[!-/:-@\[-`{-~]", text)), near]
 
 
 EDGES = [None, "", " ", "\n\n", "a", "a b c a b c", "x\nx\n x\nx", "é#|<\r\ny\r\ny", "a b\x0bc\x0ca b c", "w " * 5000, "    z", "no end\nno end"]
@@ -39,27 +40,67 @@ def test_query_counts_and_rejects(spark):
     got = q.op9_quality_rules(spark, SMALL).collect()
     assert sorted(r.doc_id for r in got) == sorted(docs)
     for r in got:
-        n, chars, symbols, _, again, repeat = brute(docs[r.doc_id].text)
+        n, chars, symbols, _, again, repeat, _, _ = brute(docs[r.doc_id].text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, again, repeat)
         assert r.base_failed == (n < 50 or 100 * repeat > 50 * n)
         assert not (r.base_failed and r.kept)
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     judged = [(quality[r.doc_id], r.kept) for r in got if r.doc_id in quality and not r.base_failed]
-    assert all(kept == (label == 1) for label, kept in judged)
+    # so few rows pool all languages in one group: every bad row goes, one clean row in fifty may
+    assert not any(kept for label, kept in judged if label == 0)
+    assert sum(not kept for label, kept in judged if label == 1) <= len(judged) / 50
 
 
-def test_robust_estimate_ignores_planted_outliers(spark):
-    rng = np.random.default_rng(0)
-    centre, spread = np.array([0.1, 1.7, 0.1, 0.1]), np.array([0.02, 0.05, 0.03, 0.02])
-    data = rng.normal(centre, spread, (2000, 4))
-    data[:300] = rng.normal([3, 0, 2, 2], 0.1, (300, 4))
-    df = spark.createDataFrame([("g", *map(float, x)) for x in data], "grp string, " + ", ".join(f"{f} double" for f in q.FEATURES))
-    m = q.mcd_models(df).collect()[0]
-    assert np.allclose([m[f"m{i}"] for i in range(4)], centre, atol=0.02)
-    scatter = np.zeros((4, 4))
+def frame(spark, data, grp="g"):
+    return spark.createDataFrame([(grp, *map(float, x)) for x in data], "grp string, " + ", ".join(f"{f} double" for f in q.FEATURES))
+
+
+def scatter_of(m):
+    inverse = np.zeros((4, 4))
     for i, j in q.PAIRS:
-        scatter[i, j] = scatter[j, i] = m[f"w{i}{j}"]
-    assert np.allclose(np.diag(np.linalg.inv(scatter)) - np.square(q.FLOORS), spread**2, atol=2e-3)
+        inverse[i, j] = inverse[j, i] = m[f"w{i}{j}"]
+    return np.linalg.inv(inverse)
+
+
+def brute_mcd(data, starts=200):
+    """Least determinant of the covariance of COVER of the rows, by concentration steps from many random starts."""
+    rng, h, best = np.random.default_rng(5), int(np.ceil(len(data) * q.COVER)), None
+    for _ in range(starts):
+        inner = rng.choice(len(data), 6, replace=False)
+        for _ in range(50):
+            m, s = data[inner].mean(0), np.cov(data[inner].T, bias=True) + 1e-12 * np.eye(4)
+            d = np.einsum("ij,jk,ik->i", data - m, np.linalg.inv(s), data - m)
+            after = np.sort(np.argsort(d, kind="stable")[:h])
+            if len(after) == len(inner) and (after == inner).all():
+                break
+            inner = after
+        det = np.linalg.det(np.cov(data[inner].T, bias=True))
+        if best is None or det < best[0]:
+            best = det, data[inner].mean(0), np.cov(data[inner].T, bias=True)
+    return best
+
+
+def test_estimate_against_brute_force(spark):
+    rng = np.random.default_rng(0)
+    turn = np.array([[0.02, 0, 0, 0], [0.05, 0.1, 0, 0], [0, 0.1, 0.2, 0], [0.1, 0, -0.1, 0.3]])
+    data = rng.normal(0, 1, (400, 4)) @ turn.T + [1.6, -2, -2.1, 3.4]
+    data[:80] = rng.normal([2.0, 0.5, -1, 3.3], 0.1, (80, 4))
+    copies = np.repeat(data[399:], 2000, axis=0)
+    m = q.mcd_models(frame(spark, np.concatenate((data, copies)))).collect()[0]
+    det, mean, cov = brute_mcd(data)
+    assert abs(m["det"] / det - 1) < 0.03
+    assert np.allclose([m[f"m{i}"] for i in range(4)], mean, atol=0.01)
+    assert np.allclose(scatter_of(m), cov * q._consistency(q.COVER), rtol=0.05, atol=3e-4)
+    d = np.einsum("ij,jk,ik->i", data - mean, np.linalg.inv(scatter_of(m)), data - mean)
+    assert (d[:80] > m["cut"]).all() and (d[80:] <= m["cut"]).all()
+
+
+def test_least_variance_is_not_the_scatter(spark):
+    rng = np.random.default_rng(1)
+    m = q.mcd_models(frame(spark, rng.normal([1.6, -2, -2.1, 3.4], [0.02, 0.11, 0.16, 0.37], (3000, 4)))).collect()[0]
+    assert (q.LEAST_VARIANCE < 0.05 * np.diag(scatter_of(m))).all()
+    # a group whose vectors all agree: the exact fit is floored, not singular
+    assert q.mcd_models(frame(spark, [[1.6, -2, -2.1, 3.4]] * 50)).collect()[0]["det"] > 0
 
 
 def test_empty_null_and_clashing_columns(spark):
