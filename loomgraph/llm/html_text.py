@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 Every paragraph earns points for its length and commas and passes them up: all to its container, half to the next
-ancestor, less further up. A container's points are discounted by the share of its text that is links. The best
+ancestor, and so on. A container's points are discounted by the share of its text that is links. The best
 container is kept, with those of its siblings that score or read like it; menus, adverts, forms and the like inside
 are left out.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,6 +68,9 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SENTENCE_END = re.compile(r"[.!?。！？](?:\s|$)")
 
 MIN_PARAGRAPH = 25
+PARAGRAPHS = frozenset("p pre td li blockquote dd".split())
+PASSED_ON = 0.5
+GOOD_WEIGHT = 1.25
 SIBLING_SHARE = 0.2
 SIBLING_FLOOR = 3.0
 LONG_SIBLING = 80
@@ -113,6 +117,7 @@ class Page:
     def _read(self, s: str) -> None:
         stack, links = [0], 0
         held: list[str] = []
+        open_tags: Counter[str] = Counter()
         linked = 0
         at, n = 0, len(s)
 
@@ -139,6 +144,8 @@ class Page:
             if any(t in BLOCK for t in gone):
                 flush()
             links -= gone.count("a")
+            for t in gone:
+                open_tags[t] -= 1
             del stack[depth:]
 
         while at < n:
@@ -175,7 +182,7 @@ class Page:
             attributes = s[m.end() : stop - 1]
             at = stop
             if closing:
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1, 0, -1) if open_tags.get(tag) else ():
                     t = self.tag[stack[depth]]
                     if t == tag:
                         pop_to(depth)
@@ -196,7 +203,7 @@ class Page:
                 continue
             if tag in VOID or tag not in BLOCK and tag not in TRACKED_INLINE:
                 continue
-            if tag in ("html", "body") and any(self.tag[x] == tag for x in stack):
+            if tag in ("html", "body") and open_tags[tag]:
                 continue
             if tag in CLOSES_P:
                 for depth in range(len(stack) - 1, 0, -1):
@@ -225,6 +232,7 @@ class Page:
                 continue
             stack.append(self._open(tag, attributes, stack[-1]))
             links += tag == "a"
+            open_tags[tag] += 1
         flush()
 
     def _removed(self, by_name: bool) -> list[bool]:
@@ -268,33 +276,27 @@ class Page:
             if len(text) < MIN_PARAGRAPH or self.tag[owner] in HEADINGS:
                 continue
             worth = 1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3)
-            node, share, level = (self.parent[owner] if self.tag[owner] in ("p", "pre", "td", "li", "blockquote", "dd") else owner), 1.0, 0
-            while node >= 0:
-                points[node] += worth * share
-                level += 1
-                share = 0.5 if level == 1 else 1 / (3 * level)
-                node = self.parent[node]
+            points[self.parent[owner] if self.tag[owner] in PARAGRAPHS else owner] += worth
+        # each level passes on a share of all it has, so a page is one pass whatever its depth
+        for i in range(n - 1, 0, -1):
+            points[self.parent[i]] += PASSED_ON * points[i]
         if not any(points):
             return [text for _, text, _ in blocks]
 
         def density(i: int) -> float:
             return linked[i] / size[i] if size[i] else 0.0
 
-        score = [(p + 25 * self.good[i] * (p > 0)) * (1 - density(i)) for i, p in enumerate(points)]
+        score = [p * (GOOD_WEIGHT if self.good[i] else 1) * (1 - density(i)) for i, p in enumerate(points)]
         best = max(range(n), key=lambda i: (score[i], -i))
-        node = best
-        while node > 0 and self.tag[node] != "article":
-            node = self.parent[node]
-        if node > 0:
-            best = node
         taken = {best}
+        reading = {o for o, t, _ in blocks if SENTENCE_END.search(t)}
         over = self.parent[best]
         if over > 0 and self.tag[best] not in ("body", "html"):
             need = max(SIBLING_FLOOR, SIBLING_SHARE * score[best])
             for i in range(over + 1, n):
                 if self.parent[i] != over or i == best or out[i] or not size[i]:
                     continue
-                reads = self.tag[i] in ("p", "blockquote", "pre") and (size[i] > LONG_SIBLING and density(i) < 0.25 or density(i) == 0 and any(o == i and SENTENCE_END.search(t) for o, t, _ in blocks))
+                reads = self.tag[i] in ("p", "blockquote", "pre") and (size[i] > LONG_SIBLING and density(i) < 0.25 or density(i) == 0 and i in reading)
                 title = self.tag[i] in HEADINGS and density(i) < 0.25
                 if score[i] >= need or reads or title:
                     taken.add(i)

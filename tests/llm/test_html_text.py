@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from loomgraph.llm.html_text import extract_pages, main_text, op2_html_text
 
@@ -71,3 +72,32 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 1), (1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1)], "page_id long, url string, html string, text int")
     assert sorted((r.text, r.n_chars) for r in extract_pages(df).collect()) == [("", 0), ("", 0), ("a", 1), ("a", 1)]
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def bare(best, other, links):
+    """A page of plain div elements: no article tag, no class and no role says which of them holds the text."""
+    side = "".join(f"<p>{t}</p>" for t in other)
+    menu = "".join(f'<p><a href="/{i}">{t}</a></p>' for i, t in enumerate(links))
+    return f"<body><div><div>{side}</div><div>{''.join(f'<p>{t}</p>' for t in best)}</div><div>{menu}</div></div></body>"
+
+
+def test_scores_decide_between_bare_containers():
+    long = [f"Paragraph {i} tells its story at some length, with commas, and goes on until it is done, as a text does." for i in range(6)]
+    short = ["One small remark of some words here"]
+    links = [f"A link whose label is as long as a paragraph, number {i}, with commas, and more, and more of the same." for i in range(9)]
+    assert main_text(bare(long, short, links)) == "\n\n".join(long)
+    assert main_text(bare(short, long, links)) == "\n\n".join(long)
+    # the same words as links lose to fewer words of prose
+    assert main_text(bare(long[:2], [], links)) == "\n\n".join(long[:2])
+
+
+def test_work_grows_with_the_page_not_with_its_square():
+    def took(k):
+        pages = ("<div>" + "<p>short one.</p>" * k + "</div>", "<div>some words, here, that are long enough to count. " * k, "<div>" * k + "</i></span></p>" * k)
+        began = time.process_time()
+        for p in pages:
+            main_text(p)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 40 * max(took(2_000), 0.01)
