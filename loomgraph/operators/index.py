@@ -1,16 +1,19 @@
 """Symbol index queries: resolution, usages and the call graph over symbols and references.
 
 symbols(symbol_id, name, qualified_name, kind, file, line, package_name); refs(ref_id, target_name,
-target_qualified_name, kind, file, line).
+target_qualified_name, kind, file, line, and of calls with a known receiver its type: receiver).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.exprs import before_last, last_segment
 from loomgraph.functions.windows import asof_backward, first_per_key, last_per_key
+from loomgraph.storage import cut_lineage
 
 
 def _by_qualified(symbols: DataFrame) -> DataFrame:
@@ -49,20 +52,58 @@ def containing_methods(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return asof_backward(functions, refs, ["file"], "line", "caller_id", "symbol_id")
 
 
+def _functions(symbols: DataFrame) -> DataFrame:
+    """Functions by qualified name, with how many share it and, of a single one, its place."""
+    f = symbols.filter("kind = 'FUNCTION'").select(last_segment(F.col("name")).alias("target_name"), F.col("qualified_name").alias("target"), F.col("package_name").alias("target_package"), "file", "line")
+    same = f.groupBy("target_name", "target", "target_package").agg(F.count("*").alias("weight"), F.min("file").alias("t_file"), F.min("line").alias("t_line"))
+    return same.withColumn("owner", before_last(F.col("target")))
+
+
 def call_graph(symbols: DataFrame, refs: DataFrame) -> DataFrame:
-    """(caller, target) qualified names of calls; several targets are narrowed by import or own class, then by package.
+    """(caller, target) qualified names of calls; several targets are narrowed by receiver, import or own class, package.
 
-    A narrower set is taken only where it is not empty and smaller than the whole.
+    Each rung is an equi-join of its own on (name, receiver), (name, owner) or (name, package); only calls that no rung
+    narrows meet all functions of their name, as one row a caller, file and name. The receiver's functions (refs may
+    have a column `receiver`, a qualified type) are taken where there are any; the other sets only where they are not
+    empty and smaller than the whole. A function that stands at the call's own place is no target.
     """
-    calls = containing_methods(symbols, refs.filter("kind = 'CALL'")).filter("caller_id is not null")
-    caller = symbols.select(F.col("symbol_id").alias("caller_id"), F.col("qualified_name").alias("caller"), F.col("package_name").alias("caller_package"))
-    target = symbols.filter("kind = 'FUNCTION'").select(last_segment(F.col("name")).alias("target_name"), F.col("qualified_name").alias("target"), F.col("package_name").alias("target_package"), F.col("file").alias("t_file"), F.col("line").alias("t_line"))
-    owner = before_last(F.col("target"))
-    imports = refs.filter("kind = 'IMPORT' and target_qualified_name is not null").select("file", F.col("target_qualified_name").alias("owner"), F.lit(True).alias("imported")).distinct()
-    df = calls.join(caller, "caller_id").join(target, "target_name").withColumn("owner", owner).join(imports, ["file", "owner"], "left")
-    near = F.coalesce("imported", F.lit(False)) | (F.col("owner") == before_last(F.col("caller")))
-    w = Window.partitionBy("ref_id")
-    df = df.withColumn("near", near.cast("int")).withColumn("same", (F.col("target_package") == F.col("caller_package")).cast("int"))
-    df = df.withColumns({"n": F.count("*").over(w), "n_near": F.sum("near").over(w), "n_same": F.sum("same").over(w)})
-    keep = F.when((F.col("n_near") > 0) & (F.col("n_near") < F.col("n")), F.col("near") == 1).when((F.col("n_same") > 0) & (F.col("n_same") < F.col("n")), F.col("same") == 1).otherwise(F.lit(True))
-    return df.filter(keep).filter("not (t_file = file and t_line = line) and caller <> target").select("caller", "target").distinct()
+    typed = refs if "receiver" in refs.columns else refs.withColumn("receiver", F.lit(None).cast("string"))
+    calls = containing_methods(symbols, typed.filter("kind = 'CALL'")).filter("caller_id is not null")
+    callers = symbols.select(F.col("symbol_id").alias("caller_id"), F.col("qualified_name").alias("caller"), F.col("package_name").alias("caller_package"))
+    # the line matters only to a call that stands where a function is declared
+    places = symbols.filter("kind = 'FUNCTION'").select("file", "line", F.lit(True).alias("declared")).distinct()
+    calls = calls.join(callers, "caller_id").join(places, ["file", "line"], "left").withColumn("at", F.when(F.col("declared"), F.col("line")))
+    key = ["caller", "caller_package", "target_name", "file", "receiver", "at"]
+    calls = cut_lineage(calls.select(*key).distinct().withColumn("call_id", F.monotonically_increasing_id()))
+    functions = cut_lineage(_functions(symbols))
+    total = functions.groupBy("target_name").agg(F.sum("weight").alias("n"))
+
+    def rung(hits: DataFrame, name: str) -> DataFrame:
+        return hits.groupBy("call_id").agg(F.sum("weight").alias(name))
+
+    parts = F.split("target", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    under = functions.filter(F.size(parts) > 1).withColumn("receiver", F.explode(prefixes))
+    received = cut_lineage(calls.filter("receiver is not null").select("call_id", "target_name", "receiver").join(under, ["target_name", "receiver"]).select("call_id", "target", "weight"))
+    imports = refs.filter("kind = 'IMPORT' and target_qualified_name is not null").select("file", F.col("target_qualified_name").alias("owner")).distinct()
+    owners = calls.select("call_id", "target_name", before_last(F.col("caller")).alias("owner")).unionByName(calls.join(imports, "file").select("call_id", "target_name", "owner")).distinct()
+    near = cut_lineage(owners.join(functions, ["target_name", "owner"]).select("call_id", "target", "weight"))
+    packaged = functions.groupBy("target_name", F.col("target_package").alias("caller_package")).agg(F.sum("weight").alias("n_same"))
+    counted = calls.join(total, "target_name").join(packaged, ["target_name", "caller_package"], "left").join(rung(received, "n_received"), "call_id", "left").join(rung(near, "n_near"), "call_id", "left")
+    chosen = (
+        F.when((F.col("n") > 1) & (F.col("n_received") > 0), "receiver")
+        .when((F.col("n_near") > 0) & (F.col("n_near") < F.col("n")), "near")
+        .when((F.col("n_same") > 0) & (F.col("n_same") < F.col("n")), "package")
+        .otherwise("all")
+    )
+    counted = cut_lineage(counted.withColumn("rung", chosen).select("call_id", *key, "rung"))
+    place = functions.select("target", "target_name", "target_package", "weight", "t_file", "t_line")
+    of = {r: counted.filter(F.col("rung") == r) for r in ("receiver", "near", "package", "all")}
+    hits = [
+        of["receiver"].join(received.select("call_id", "target"), "call_id").join(place.drop("target_package"), ["target_name", "target"]),
+        of["near"].join(near.select("call_id", "target"), "call_id").join(place.drop("target_package"), ["target_name", "target"]),
+        of["package"].join(place, (of["package"].target_name == place.target_name) & (of["package"].caller_package == place.target_package)),
+        of["all"].select("caller", "target_name", "file", "at").distinct().join(place.drop("target_package"), "target_name"),
+    ]
+    elsewhere = F.expr("not (weight = 1 and at is not null and t_file = file and t_line = at)") & (F.col("caller") != F.col("target"))
+    return reduce(DataFrame.unionByName, [h.filter(elsewhere).select("caller", "target") for h in hits]).distinct()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.operators.resolve import CodeGraph, classified
+from loomgraph.storage import cut_lineage
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 
@@ -38,8 +39,9 @@ SELECT component_id, CAST(row_number() OVER (PARTITION BY component_id ORDER BY
   UNION ALL
   SELECT a.component_id, 1, 'org.ext.' || b.simple_name FROM ({COMPONENTS}) a JOIN ({COMPONENTS}) b ON b.component_id = a.component_id + 1 WHERE a.component_id % 13 = 0
   UNION ALL
-  SELECT a.component_id, 2, b.qualified_name FROM ({COMPONENTS}) a JOIN ({COMPONENTS}) b
-    ON (a.component_id % 6 = 0 AND b.component_id = a.component_id + 2) OR (a.component_id % 12 = 2 AND b.component_id = a.component_id - 2)) t"""
+  SELECT a.component_id, 2, b.qualified_name FROM ({COMPONENTS}) a JOIN ({COMPONENTS}) b ON b.component_id = a.component_id + 2 WHERE a.component_id % 6 = 0
+  UNION ALL
+  SELECT a.component_id, 2, b.qualified_name FROM ({COMPONENTS}) a JOIN ({COMPONENTS}) b ON b.component_id = a.component_id - 2 WHERE a.component_id % 12 = 2) t"""
 
 SUPERTYPES = f"""
 SELECT component_id, CAST(row_number() OVER (PARTITION BY component_id ORDER BY o, name) AS BIGINT) AS pos, name FROM (
@@ -65,6 +67,7 @@ FROM {events} WHERE event_type IN ('view', 'signup', 'purchase')"""
 REFS = """
 SELECT event_id AS ref_id, CASE event_type WHEN 'click' THEN 'CALL' ELSE 'IMPORT' END AS kind, 'u' || CAST(user_id AS STRING) AS file, event_id AS line,
   CASE event_type WHEN 'click' THEN 'm' || CAST(event_id % 30 AS STRING) ELSE 'C' || CAST(event_id % 40 AS STRING) END AS target_name,
+  CASE WHEN event_type = 'click' AND event_id % 7 = 0 THEN 'pkg' || CAST(event_id % 5 AS STRING) || '.C' || CAST(event_id % 40 AS STRING) END AS receiver,
   CASE WHEN event_type = 'click' THEN NULL ELSE 'pkg' || CAST(event_id % 5 AS STRING) || '.C' || CAST(event_id % 40 AS STRING) END AS target_qualified_name
 FROM {events} WHERE event_type IN ('click', 'error')"""
 
@@ -80,5 +83,6 @@ def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def code_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """The graph of one fixture: each relation is a table written once, whatever a query joins it with."""
     parts = [table(spark, sf_dir, s) for s in (COMPONENTS, IMPORTS, SUPERTYPES, ANNOTATIONS)]
-    return CodeGraph(classified(parts[0], parts[3]), *parts[1:])
+    return CodeGraph(*(cut_lineage(p) for p in (classified(parts[0], parts[3]), *parts[1:3])), parts[3])

@@ -9,6 +9,7 @@ from loomgraph.functions import exprs
 from loomgraph.operators import graph, index, reports, resolve, rollup, rules
 from loomgraph.plans.adapters import ANNOTATIONS, COMPONENTS, IMPORTS, REFS, SUPERTYPES, SYMBOLS, code_graph, plain, table
 from loomgraph.sources import files
+from loomgraph.storage import cut_lineage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,7 +80,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _edges(g: resolve.CodeGraph) -> DataFrame:
-    return graph.dependency_edges(graph.import_edges(g), graph.supertype_edges(g), graph.same_package_edges(g.components, g.components))
+    return cut_lineage(graph.dependency_edges(graph.import_edges(g), graph.supertype_edges(g), graph.same_package_edges(g.components, g.components)))
 
 
 def _over_graph(name: str, uses: str, sql: str | None, build) -> None:
@@ -341,11 +342,11 @@ _index(
     "call_graph",
     "symbols refs",
     """, m AS (SELECT r.*, s.symbol_id AS caller_id FROM refs r ASOF JOIN (SELECT file, line, min(symbol_id) AS symbol_id FROM symbols WHERE kind = 'FUNCTION' GROUP BY 1, 2) s ON r.file = s.file AND r.line >= s.line WHERE r.kind = 'CALL'),
-    x AS (SELECT m.ref_id, a.qualified_name AS caller, t.qualified_name AS target, m.file, m.line, t.file AS tf, t.line AS tl, a.package_name = t.package_name AS same,
+    x AS (SELECT coalesce(starts_with(t.qualified_name, m.receiver || '.'), FALSE) AS own, m.ref_id, a.qualified_name AS caller, t.qualified_name AS target, m.file, m.line, t.file AS tf, t.line AS tl, a.package_name = t.package_name AS same,
         regexp_replace(t.qualified_name, '\\.[^.]*$', '') = regexp_replace(a.qualified_name, '\\.[^.]*$', '') OR EXISTS (SELECT 1 FROM refs i WHERE i.kind = 'IMPORT' AND i.file = m.file AND i.target_qualified_name = regexp_replace(t.qualified_name, '\\.[^.]*$', '')) AS near
         FROM m JOIN symbols a ON a.symbol_id = m.caller_id JOIN symbols t ON t.kind = 'FUNCTION' AND split_part(t.name, '.', -1) = m.target_name),
-    y AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE near) OVER w AS nn, count(*) FILTER (WHERE same) OVER w AS ns FROM x WINDOW w AS (PARTITION BY ref_id))
-    SELECT DISTINCT caller, target FROM y WHERE CASE WHEN nn > 0 AND nn < n THEN near WHEN ns > 0 AND ns < n THEN same ELSE TRUE END AND NOT (tf = file AND tl = line) AND caller <> target""",
+    y AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE own) OVER w AS nr, count(*) FILTER (WHERE near) OVER w AS nn, count(*) FILTER (WHERE same) OVER w AS ns FROM x WINDOW w AS (PARTITION BY ref_id))
+    SELECT DISTINCT caller, target FROM y WHERE CASE WHEN nr > 0 AND n > 1 THEN own WHEN nn > 0 AND nn < n THEN near WHEN ns > 0 AND ns < n THEN same ELSE TRUE END AND NOT (tf = file AND tl = line) AND caller <> target""",
     index.call_graph,
 )
 ORACLES["call_graph"] = ORACLES["call_graph"].replace(") , m AS", "), m AS")
