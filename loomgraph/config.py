@@ -21,6 +21,13 @@ EXCLUDED_SCOPES = (
     "kotlinScriptDefExtensions",
 )
 
+# Calls of a build script that declare no dependency.
+SKIPPED_CALLS = tuple(
+    "plugins kotlin id version apply repositories mavenCentral google gradlePluginPortal mavenLocal java tasks register named configure "
+    "sourceSets dependencies buildscript allprojects subprojects project files fileTree exclude include create getting creating withType matching "
+    "println print error require check listOf setOf mapOf mutableListOf mutableSetOf buildList buildString buildMap run let also apply with".split()
+)
+
 
 @dataclass(frozen=True)
 class EngineConfig:

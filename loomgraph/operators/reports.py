@@ -89,3 +89,56 @@ def clean(base: str, folder: str) -> bool:
         return False
     shutil.rmtree(target)
     return True
+
+
+def build_diagram(edges: DataFrame) -> DataFrame:
+    """A Mermaid flowchart of edges(from_build, to_build); no line without edges."""
+    some = edges.limit(1).select(F.lit(1).alias("x"))
+    ends = some.select(F.explode(F.array(F.lit("0```mermaid"), F.lit("1flowchart TD"))).alias("l"))
+    arrows = F.concat(F.lit("    "), node_id(F.col("from_build")), F.lit(" --> "), node_id(F.col("to_build")))
+    out = _lines(ends, 0, F.left("l", F.lit(1)), F.lit(""), F.expr("substring(l, 2)"))
+    return out.unionByName(_lines(edges, 1, F.col("from_build"), F.col("to_build"), arrows)).unionByName(_lines(some, 2, F.lit(""), F.lit(""), F.lit("```")))
+
+
+def dashboard(projects: DataFrame, builds: DataFrame) -> DataFrame:
+    """Overview, projects(project, n_symbols, source_sets, n_dependencies, n_warnings) and builds(build, n_projects, n_symbols, n_warnings, relative_dir).
+
+    Totals take in the included builds; the label counts the root's projects only.
+    """
+    p = projects.agg(F.count("*").alias("np"), F.coalesce(F.sum("n_symbols"), F.lit(0)).alias("ps"), F.coalesce(F.sum("n_warnings"), F.lit(0)).alias("pw"))
+    b = builds.agg(F.count("*").alias("nb"), F.coalesce(F.sum("n_symbols"), F.lit(0)).alias("bs"), F.coalesce(F.sum("n_warnings"), F.lit(0)).alias("bw"))
+    all_ = p.crossJoin(F.broadcast(b)).select("np", "nb", (F.col("ps") + F.col("bs")).alias("s"), (F.col("pw") + F.col("bw")).alias("w"))
+    label = lambda n, one: F.when(F.col(n) == 1, one).otherwise(one + "s")
+    overview = F.array_compact(
+        F.array(
+            F.lit("## Overview\n"),
+            F.concat(F.lit("- "), "s", F.lit(" symbols across "), "np", F.lit(" "), label("np", "project")),
+            F.when(F.col("w") > 0, F.concat(F.lit("- "), "w", F.lit(" "), label("w", "warning"))),
+            F.when(F.col("nb") > 0, F.concat(F.lit("- "), "nb", F.lit(" "), label("nb", "included build"))),
+        )
+    )
+    out = _lines(all_.select(F.posexplode(overview).alias("i", "l")), 0, F.col("i"), F.lit(""), F.col("l"))
+    head = lambda n, title: all_.filter(f"{n} > 0").select(F.lit(title).alias("l"))
+    table = head("np", "\n## Projects\n\n| Project | Symbols | Source Sets | Dependencies | Warnings |\n|---------|---------|------------|-------------|----------|")
+    out = out.unionByName(_lines(table, 1, F.lit(""), F.lit(""), F.col("l"))).unionByName(_lines(projects, 2, F.col("project"), F.lit(""), text("| {} | {} | {} | {} | {} |", "project", "n_symbols", "source_sets", "n_dependencies", "n_warnings")))
+    table = head("nb", "\n## Included Builds\n\n| Build | Projects | Symbols | Warnings | Context |\n|-------|----------|---------|----------|---------|")
+    link = text("| {} | {} | {} | {} | [view](../{}/.srcx/context.md) |", "build", "n_projects", "n_symbols", "n_warnings", "relative_dir")
+    return out.unionByName(_lines(table, 3, F.lit(""), F.lit(""), F.col("l"))).unionByName(_lines(builds, 4, F.col("build"), F.lit(""), link))
+
+
+def cross_build_report(edges: DataFrame, hubs: DataFrame, cycles: DataFrame) -> DataFrame:
+    """edges(from_build, to_build) by source, shared hubs(name, path, line, dependent_count, role), distinct cycles(nodes)."""
+    out = _lines(edges.select("from_build").distinct(), 1, F.col("from_build"), F.lit(""), text("### {}", "from_build"))
+    out = out.unionByName(_lines(edges, 1, F.col("from_build"), F.concat(F.lit("1"), "to_build"), text("- depends on **{}**", "to_build")))
+    order = F.lpad((F.lit(10**12) - F.col("dependent_count")).cast("string"), 13, "0")
+    out = out.unionByName(_lines(hubs, 2, order, F.col("name"), text("| `{}` | {}:{} | {} | {} |", "name", "path", "line", "dependent_count", "role")))
+    shown = cycles.select(F.array_join("nodes", " -> ").alias("path"))
+    return out.unionByName(_lines(shown, 3, F.col("path"), F.lit(""), text("- {}", "path")))
+
+
+def interfaces_report(interfaces: DataFrame) -> DataFrame:
+    """interfaces(name, package_name, n_impl, has_mock, source_set): those outside tests, then those of tests."""
+    test = F.lower("source_set").contains("test").cast("int")
+    order = F.lpad((F.lit(10**12) - F.col("n_impl")).cast("string"), 13, "0")
+    mock = interfaces.withColumns({"mock": F.when(F.col("has_mock"), "yes").otherwise("no"), "test": test})
+    return mock.select((F.col("test") + 1).alias("part"), order.alias("a"), F.col("name").alias("b"), text("| `{}` | {} | {} | {} |", "name", "package_name", "n_impl", "mock").alias("line"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.config import EXCLUDED_SCOPES
+from loomgraph.config import EXCLUDED_SCOPES, SKIPPED_CALLS
 from loomgraph.functions.exprs import code_lines
 from loomgraph.sources.declarations import Source, dependencies
 
@@ -92,12 +92,12 @@ def metadata_of(files: DataFrame) -> DataFrame:
     return read.mapInPandas(run, f"path string, {META}, line_count long")
 
 
-def script_dependencies(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_SCOPES) -> DataFrame:
+def script_dependencies(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_SCOPES, skipped: tuple[str, ...] = SKIPPED_CALLS) -> DataFrame:
     """deps(path, ord, scope, artifact_group, artifact, version) of build scripts; repeated lines stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, i, *d) for p, t in b[["path", "text"]].itertuples(index=False) for i, d in enumerate(dependencies(t or "", frozenset(excluded)))]
+            rows = [(p, i, *d) for p, t in b[["path", "text"]].itertuples(index=False) for i, d in enumerate(dependencies(t or "", frozenset(excluded), frozenset(skipped)))]
             yield pd.DataFrame(rows, columns=["path", "ord", "scope", "artifact_group", "artifact", "version"])
 
     return files.select("path", "text").mapInPandas(run, "path string, ord int, scope string, artifact_group string, artifact string, version string")
