@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.byte_bpe import _blocks
 from loomgraph.llm.memory import give_back
 from loomgraph.llm.scratch import staged
 from loomgraph.llm.shipping import ship_package
 from loomgraph.llm.word_tokens import END_ID, MODEL_FILE, tokenizer
+from loomgraph.llm.words import text_blocks
 
 CAPACITY = 2048
 GRAIN = 16
@@ -175,9 +175,9 @@ def _tokenised(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.zeros(CAPACITY // GRAIN + 1, np.int64)
         full_rank = fill_from = 0
-        for block, texts in _blocks(batches):
+        for block in text_blocks(batches):
             out = []
-            for ids, part, fill in zip(tokenizer(model).encode(texts), block.column("part").to_pylist(), block.column("fill").to_pylist(), strict=True):
+            for ids, part, fill in zip(tokenizer(model).encode(block.column("text")), block.column("part").to_pylist(), block.column("fill").to_pylist(), strict=True):
                 ids += end
                 n = len(ids) // 4
                 if fill and n <= CAPACITY:
@@ -193,7 +193,6 @@ def _tokenised(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataF
             types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *cols], [f.split(" ")[0] for f in ITEM_SCHEMA.split(", ")])
-        tokenizer(model).rest()
         give_back()
 
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
@@ -349,8 +348,8 @@ def sequence_ids(docs: DataFrame, pieces: DataFrame, model: str = MODEL_FILE, id
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, texts in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([x + end for x in tokenizer(model).encode(texts)], pa.binary())], ["doc_id", "all_ids"])
+        for block in text_blocks(batches):
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([x + end for x in tokenizer(model).encode(block.column("text"))], pa.binary())], ["doc_id", "all_ids"])
 
     coded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, all_ids binary")
     parts = pieces.join(coded, "doc_id").select("sequence_id", "offset", "length", F.expr("substring(all_ids, cast(4 * start + 1 as int), cast(4 * length as int))").alias("ids"))

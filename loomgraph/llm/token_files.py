@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.byte_bpe import _blocks
+from loomgraph.llm.memory import give_back
 from loomgraph.llm.scratch import staged
 from loomgraph.llm.shipping import ship_package
 from loomgraph.llm.word_tokens import END_ID, MODEL_FILE, tokenizer
+from loomgraph.llm.words import text_blocks
 
 MAGIC = b"LGRANS01"
 LANES = 32
@@ -132,11 +133,14 @@ def decode_container(raw: bytes) -> np.ndarray:
 FILE_SCHEMA = "part int, start_in_part long, n_docs long, n_tokens long, doc_ids binary, doc_nulls binary, doc_tokens binary, payload binary"
 
 
-def write_token_files(docs: DataFrame, model: str = MODEL_FILE, id_col: str = "doc_id", text_col: str = "text", container_tokens: int = CONTAINER_TOKENS) -> DataFrame:
-    """Containers of all documents in ascending doc_id order, one row each, written as Parquet in the shared folder.
+def write_token_files(docs: DataFrame, model: str = MODEL_FILE, id_col: str = "doc_id", text_col: str = "text", container_tokens: int = CONTAINER_TOKENS, folder: str | None = None) -> DataFrame:
+    """Containers of all documents in ascending doc_id order, one row each, written as Parquet to `folder`.
+
+    Without `folder` they go to the application's shared one, which ends with it.
 
     Each document is its text's ids and END_ID behind them; null and empty texts have that id alone. A null doc_id
-    comes first, rows that repeat a doc_id stand together in order of their text, other columns are ignored, and an
+    comes first, rows that repeat a doc_id stand together in the order of a hash of their text (so that any number of
+    them spreads over several parts), other columns are ignored, and an
     empty table gives no container. A container closes at the first document end past `container_tokens`.
     """
     ship_package(docs.sparkSession)
@@ -155,9 +159,9 @@ def write_token_files(docs: DataFrame, model: str = MODEL_FILE, id_col: str = "d
             start, parts, doc_ids, held = start + held, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [f.split(" ")[0] for f in FILE_SCHEMA.split(", ")])
 
-        for block, texts in _blocks(batches):
+        for block in text_blocks(batches):
             number = block.column("part")[0].as_py()
-            for d, ids in zip(block.column("doc_id").to_pylist(), tokenizer(model).encode(texts), strict=True):
+            for d, ids in zip(block.column("doc_id").to_pylist(), tokenizer(model).encode(block.column("text")), strict=True):
                 parts.append(ids + end)
                 doc_ids.append(d)
                 held += len(ids) // 4 + 1
@@ -165,10 +169,13 @@ def write_token_files(docs: DataFrame, model: str = MODEL_FILE, id_col: str = "d
                     yield close()
         if parts:
             yield close()
-        tokenizer(model).rest()
+        give_back()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, FILE_SCHEMA), "token-files", codec="uncompressed")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    order = ["doc_id", "place", "seq"]
+    placed = read.select("*", F.xxhash64("text").alias("place"), F.monotonically_increasing_id().alias("seq"))
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    return staged(ordered.mapInArrow(run, FILE_SCHEMA), "token-files", codec="uncompressed", folder=folder)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

@@ -133,6 +133,14 @@ def word_runs(column: pa.Array, fold: bool = False, most: int = 1 << 20) -> Iter
         yield i, j, Words(FOLD[part] if fold else part, bounds[i : j + 1] - bounds[i])
 
 
+def text_blocks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Stretches of the batches that hold about `most` bytes in their column `text`; a longer text is one of its own."""
+    for b in batches:
+        bounds = texts_of(b.column("text"))[1]
+        for i, j in slices(bounds, most):
+            yield b.slice(i, j - i)
+
+
 def ids_of(column: pa.Array) -> np.ndarray:
     """Row ids as int64; null becomes the largest value, which ranks after every id."""
     return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
