@@ -273,7 +273,7 @@ def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRANS = "t AS (SELECT DISTINCT a, b FROM (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL AND a <> b)"
 _CYCLES = f"""WITH RECURSIVE {_TRANS},
-    w AS (SELECT a AS head, b AS last, [a, b] AS nodes FROM t WHERE a < b UNION ALL SELECT head, t.b, list_append(nodes, t.b) FROM w JOIN t ON t.a = w.last WHERE t.b > head AND NOT list_contains(nodes, t.b) AND len(nodes) < 4),
+    w AS (SELECT a AS head, b AS last, [a, b] AS nodes FROM t WHERE a < b UNION ALL SELECT head, t.b, list_append(nodes, t.b) FROM w JOIN t ON t.a = w.last WHERE t.b > head AND NOT list_contains(nodes, t.b)),
     cycles AS (SELECT array_to_string(list_append(nodes, head), ' -> ') AS path FROM w JOIN t ON t.a = w.last AND t.b = w.head) """
 register("canonical_cycles")(lambda spark, sf_dir: graph.canonical_cycles(_transitions(spark, sf_dir)))
 ORACLES["canonical_cycles"] = _CYCLES + "SELECT path FROM cycles"
@@ -393,7 +393,7 @@ def _findings_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.distinct_findings(found).select("message", "build")
 
 
-@register("build_edges", "", "SELECT DISTINCT 'b' || (l_suppkey % 40) AS from_build, 'b' || (l_partkey % 50) AS to_build FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 50 AND l_partkey % 50 < 40 AND l_partkey % 7 = 0")
+@register("build_edges", "", "SELECT DISTINCT 'b' || (l_suppkey % 40) AS from_build, 'b' || (l_partkey % 50) AS to_build FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 50 AND l_partkey % 50 < 40")
 def _build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     deps = _read(spark, sf_dir, "lineitem").selectExpr("concat('b', cast(l_suppkey % 40 as string)) AS build", "concat('b', cast(l_partkey % 50 as string)) AS artifact")
     builds = spark.range(40).selectExpr("concat('b', cast(id as string)) AS build")
@@ -433,7 +433,7 @@ def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, COMPONENTS).selectExpr("concat('/src/main/kotlin/', component_id, '.kt') AS path", "'kt' AS ext", f"{body} AS text")
 
 
-_BASED = "b AS (SELECT *, '/src/main/kotlin/' || component_id || '.kt' AS file, CASE WHEN package_name = '' THEN 5 ELSE 7 END AS l FROM c0 WHERE component_id < 1000000000)"
+_BASED = "b AS (SELECT *, '/src/main/kotlin/' || component_id || '.kt' AS file, CASE WHEN package_name = '' THEN 5 ELSE 7 END AS l FROM c0)"
 register("extract_symbols")(lambda spark, sf_dir: files.symbols_of(files.parse_files(_rendered(spark, sf_dir))).drop("ord"))
 ORACLES["extract_symbols"] = check("c0", "SELECT 1").removesuffix(" SELECT 1") + f""", {_BASED}
     SELECT file AS path, simple_name AS name, qualified_name, CASE component_id % 3 WHEN 0 THEN 'DATA_CLASS' WHEN 1 THEN 'CLASS' ELSE 'INTERFACE' END AS kind, l AS line, package_name FROM b

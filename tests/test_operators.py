@@ -3,7 +3,7 @@ import pytest
 from loomgraph.config import EngineConfig
 from loomgraph.functions import exprs
 from loomgraph.functions.windows import argmax_first, asof_backward, first_per_key, last_per_key
-from loomgraph.operators import graph, rollup, rules
+from loomgraph.operators import graph, index, rollup, rules, summary
 from loomgraph.operators.resolve import CodeGraph, classified, resolve_names
 from pyspark.sql import functions as F
 
@@ -117,3 +117,20 @@ def test_build_edges(spark):
 def test_interface_naming(spark):
     got = rollup.interface_candidates(spark.createDataFrame([("ILogger",), ("LoggerImpl",), ("FakeILogger",)], "name string")).collect()
     assert [tuple(r) for r in got] == [("ILogger", 1, True)]
+
+
+def test_strict_dependencies_fail_on_blank_parts(spark):
+    deps = spark.createDataFrame([("g", "a", "1"), ("g", " ", "1"), (None, "b", "2")], "artifact_group string, artifact string, version string")
+    kept, bad = summary.checked_dependencies(deps, strict=False)
+    assert (kept.count(), bad.count()) == (1, 2)
+    with pytest.raises(Exception, match="blank group"):
+        summary.checked_dependencies(deps)[0].collect()
+
+
+def test_call_with_receiver_goes_to_its_type(spark):
+    symbols = [(1, "Api.fetch", "p.Api.fetch", "FUNCTION", "Api", 2, "p"), (2, "Other.fetch", "q.Other.fetch", "FUNCTION", "Other", 2, "q"), (3, "Client.load", "q.Client.load", "FUNCTION", "Client", 3, "q")]
+    s = spark.createDataFrame(symbols, "symbol_id long, name string, qualified_name string, kind string, file string, line long, package_name string")
+    schema = "ref_id long, target_name string, target_qualified_name string, kind string, file string, line long, receiver string"
+    for receiver, target in (("p.Api", "p.Api.fetch"), (None, "q.Other.fetch"), ("x.Unknown", "q.Other.fetch")):
+        refs = spark.createDataFrame([(1, "fetch", None, "CALL", "Client", 4, receiver)], schema)
+        assert [(r.caller, r.target) for r in index.call_graph(s, refs).collect()] == [("q.Client.load", target)]
