@@ -23,7 +23,7 @@ PARSED = f"path string, symbols array<struct<{SYMBOL.replace(' string', ':string
 
 def scan_files(spark: SparkSession, *roots: str, pattern: str = "*.{kt,java,kts}") -> DataFrame:
     """files(path, name, ext, source_set, text) under the roots, each path once, outside build output."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(list(roots))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(list(roots), wholetext=True)
     df = read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter("not path rlike '/(build|[.]gradle)/'")
     name = F.substring_index("path", "/", -1)
     return df.dropDuplicates(["path"]).select("path", name.alias("name"), F.substring_index(name, ".", -1).alias("ext"), F.regexp_extract("path", r"/src/([^/]+)/", 1).alias("source_set"), "text")
