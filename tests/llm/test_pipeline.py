@@ -60,3 +60,15 @@ def test_decisions_hold_for_the_row_not_for_its_id(spark):
     near = spark.createDataFrame([(3, words), (5, words + " end"), (5, "quite another text"), (None, words + " tail"), (None, "")], "doc_id long, text string")
     got = corpus_pipeline.near_dedup(spark, near, MIDDLE).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("3", words), ("5", "quite another text"), ("None", "")]
+
+
+def test_columns_of_any_name(spark):
+    long = " ".join(f"w{i}" for i in range(70))
+    schema = "doc_id long, text string, n_chars long, __removed string, __id int, __text string, __n int, row_id int, row_text string, `a.b` string"
+    rows = [(1, long, 5, "r", 1, "t", 2, 3, "x", "y"), (2, long + " tail", 5, "s", 1, "t", 2, 3, "x", "z"), (2, long + " tail", 5, "s", 1, "t", 2, 3, "x", "z")]
+    df = spark.createDataFrame(rows, schema)
+    for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup):
+        out = stage(spark, df, MIDDLE)
+        assert out.columns == df.columns and [tuple(r)[3:] for r in out.collect() if r.doc_id == 1] == [tuple(rows[0])[3:]]
+    assert sorted((r.text, r.n_chars) for r in corpus_pipeline.substring_dedup(spark, df, MIDDLE).collect()) == [("tail", 4), ("tail", 4), (long, 5)]
+    assert [stage(spark, df.limit(0), MIDDLE).count() for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup)] == [0, 0, 0]

@@ -95,3 +95,10 @@ def test_collisions_are_regrouped(monkeypatch):
 
 def test_empty_table(spark):
     assert got(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_many_rows_of_one_text(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = spark.range(6_000).selectExpr("7 AS doc_id", f"'{text}' AS text").unionByName(spark.createDataFrame([(3, f"x {text} y")], "doc_id long, text string"))
+    got = {(r.doc_id, r.n_removed): r["count"] for r in sd.remove_repeats(rows, with_text=False).groupBy("doc_id", "n_removed").count().collect()}
+    assert got == {(3, 0): 1, (7, 300): 6_000}
