@@ -122,7 +122,7 @@ def dashboard(projects: DataFrame, builds: DataFrame) -> DataFrame:
     table = head("np", "\n## Projects\n\n| Project | Symbols | Source Sets | Dependencies | Warnings |\n|---------|---------|------------|-------------|----------|")
     out = out.unionByName(_lines(table, 1, F.lit(""), F.lit(""), F.col("l"))).unionByName(_lines(projects, 2, F.col("project"), F.lit(""), text("| {} | {} | {} | {} | {} |", "project", "n_symbols", "source_sets", "n_dependencies", "n_warnings")))
     table = head("nb", "\n## Included Builds\n\n| Build | Projects | Symbols | Warnings | Context |\n|-------|----------|---------|----------|---------|")
-    link = text("| {} | {} | {} | {} | [view](../{}/.srcx/context.md) |", "build", "n_projects", "n_symbols", "n_warnings", "relative_dir")
+    link = text("| {} | {} | {} | {} | [view](../{}/.loomgraph/context.md) |", "build", "n_projects", "n_symbols", "n_warnings", "relative_dir")
     return out.unionByName(_lines(table, 3, F.lit(""), F.lit(""), F.col("l"))).unionByName(_lines(builds, 4, F.col("build"), F.lit(""), link))
 
 

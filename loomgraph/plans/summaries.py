@@ -121,7 +121,7 @@ _label = lambda n, one: f"CASE WHEN {n} = 1 THEN '{one}' ELSE '{one}s' END"  # n
     SELECT '- ' || s || ' symbols across ' || np || ' ' || {_label("np", "project")} AS line FROM t UNION ALL SELECT '- ' || w || ' ' || {_label("w", "warning")} FROM t WHERE w > 0
     UNION ALL SELECT '- ' || nb || ' ' || {_label("nb", "included build")} FROM t WHERE nb > 0
     UNION ALL SELECT '| ' || project || ' | ' || n_symbols || ' | ' || source_sets || ' | ' || n_dependencies || ' | ' || n_warnings || ' |' FROM summaries
-    UNION ALL SELECT '| ' || build || ' | ' || n_projects || ' | ' || n_symbols || ' | ' || n_warnings || ' | [view](../' || lower(build) || '/.srcx/context.md) |' FROM builds""",
+    UNION ALL SELECT '| ' || build || ' | ' || n_projects || ' | ' || n_symbols || ' | ' || n_warnings || ' | [view](../' || lower(build) || '/.loomgraph/context.md) |' FROM builds""",
 )
 def _dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.dashboard(_summaries(spark, sf_dir), _builds(spark, sf_dir)).filter(~F.col("line").contains("## ")).select("line")
