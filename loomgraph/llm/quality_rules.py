@@ -5,8 +5,9 @@ robust centre and scatter, and a document whose Mahalanobis distance passes a cu
 quantile, brought to the scale of the group by the median of its distances.
 
 The estimate is distributed: concentration steps run from several starts, the start of the least determinant goes on
-until its determinant settles. A step is two aggregations per group over all distinct vectors (copies of a document
-count once), so no group is ever gathered, and only group-sized tables (centre, scatter) travel between steps.
+until its determinant settles. A step is one pass over all distinct vectors (copies of a document count once), summed by
+group and bin of distance, so no group is ever gathered, and only group-sized tables (centre, scatter) travel between
+steps.
 """
 
 from __future__ import annotations
@@ -122,6 +123,7 @@ MOST_STEPS = 30
 SETTLED = 1e-3
 MIN_GROUP = 100
 BROADCAST_GROUPS = 20_000
+MODELS_A_TASK = 8
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
@@ -157,15 +159,15 @@ def _distance() -> Column:
     return sum((d[i] * d[j] * F.col(f"w{i}{j}") * (1.0 if i == j else 2.0) for i, j in PAIRS), F.lit(0.0))
 
 
-MODEL_SCHEMA = "grp string, start int, det double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"w{i}{j} double" for i, j in PAIRS)
+MODEL_SCHEMA = "grp string, start int, det double, before double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"w{i}{j} double" for i, j in PAIRS)
 
 
-def _models(grp, start, mean: np.ndarray, cov: np.ndarray, factor: float) -> pd.DataFrame:
-    """Rows of MODEL_SCHEMA: determinant of the scatter, centre, inverse of the scatter times `factor`."""
+def _models(grp, start, before, mean: np.ndarray, cov: np.ndarray, factor: float) -> pd.DataFrame:
+    """Rows of MODEL_SCHEMA: determinants of the scatter and of the one before, centre, inverse of the scatter times `factor`."""
     size, axes = np.linalg.eigh(cov)
     size = np.maximum(size, LEAST_VARIANCE)
     inverse = np.einsum("nik,nk,njk->nij", axes, 1 / (size * factor), axes)
-    out = {"grp": grp, "start": start, "det": size.prod(1)} | {f"m{i}": mean[:, i] for i in range(P)} | {f"w{i}{j}": inverse[:, i, j] for i, j in PAIRS}
+    out = {"grp": grp, "start": start, "det": size.prod(1), "before": before} | {f"m{i}": mean[:, i] for i in range(P)} | {f"w{i}{j}": inverse[:, i, j] for i, j in PAIRS}
     return pd.DataFrame(out)
 
 
@@ -176,7 +178,7 @@ def _from_moments(batches: Iterator[pd.DataFrame], factor: float) -> Iterator[pd
         cov = np.zeros((len(t), P, P))
         for i, j in PAIRS:
             cov[:, i, j] = cov[:, j, i] = t[f"q{i}{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
-        yield _models(t["grp"], t["start"], mean, cov, factor)
+        yield _models(t["grp"], t["start"], t["before"], mean, cov, factor)
 
 
 def _quantile_bin(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -188,16 +190,21 @@ def _quantile_bin(counts: DataFrame, keys: list[str], share: float) -> DataFrame
 
 def _binned(rows: DataFrame, model: DataFrame, size: int) -> DataFrame:
     """rows with the bin of their distance: 64 bins to a factor of e, 2048 in all."""
-    return _with_groups(rows, model, size).select("grp", "start", *FEATURES, F.least(F.floor((F.log(_distance() + 1e-9) + 21.0) * 64), F.lit(2047)).alias("bin"))
+    return _with_groups(rows, model, size).select("grp", "start", "det", *FEATURES, F.least(F.floor((F.log(_distance() + 1e-9) + 21.0) * 64), F.lit(2047)).alias("bin"))
 
 
 def _concentrated(rows: DataFrame, model: DataFrame, size: int, factor: float) -> DataFrame:
-    """One concentration step: the moments of the COVER share of rows that are nearest to the model."""
-    near = _binned(rows, model, size)
-    cut = _quantile_bin(near.groupBy("grp", "start", "bin").agg(F.count("*").alias("n")), ["grp", "start"], COVER).withColumnRenamed("bin", "cut")
-    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in PAIRS]
-    inner = _with_groups(near, cut, size, ["grp", "start"]).filter("bin <= cut")
-    return inner.groupBy("grp", "start").agg(F.count("*").alias("n"), *sums).mapInPandas(lambda b: _from_moments(b, factor), MODEL_SCHEMA)
+    """One concentration step: the moments of the COVER share of rows that are nearest to the model.
+
+    Moments are summed by bin of distance in one pass over the rows; those of the inner bins, at most 2048 a model, are added.
+    """
+    sums = {f"s{i}": F.col(f) for i, f in enumerate(FEATURES)} | {f"q{i}{j}": F.col(FEATURES[i]) * F.col(FEATURES[j]) for i, j in PAIRS}
+    bins = _binned(rows, model, size).groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), F.max("det").alias("before"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    w = Window.partitionBy("grp", "start")
+    within = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = bins.withColumn("inner", within < F.ceil(F.sum("n").over(w) * F.lit(COVER))).filter("inner")
+    moments = inner.groupBy("grp", "start").agg(F.sum("n").alias("n"), F.max("before").alias("before"), *[F.sum(k).alias(k) for k in sums])
+    return moments.coalesce(max(1, -(-size // MODELS_A_TASK))).mapInPandas(lambda b: _from_moments(b, factor), MODEL_SCHEMA)
 
 
 def _first_models(rows: DataFrame, size: int) -> DataFrame:
@@ -227,7 +234,7 @@ def _first_models(rows: DataFrame, size: int) -> DataFrame:
                     else:
                         continue
                     corr[:, i, j] = corr[:, j, i] = np.clip(r, -0.99, 0.99)
-                yield _models(t["grp"], np.full(len(t), start), mean, corr * sd[:, :, None] * sd[:, None, :], 1.0)
+                yield _models(t["grp"], np.full(len(t), start), np.full(len(t), np.inf), mean, corr * sd[:, :, None] * sd[:, None, :], 1.0)
 
     return staged(seen.mapInPandas(run, MODEL_SCHEMA), "mcd")
 
@@ -248,14 +255,13 @@ def mcd_models(rows: DataFrame) -> DataFrame:
     best = Window.partitionBy("grp").orderBy("det", "start")
     model = staged(model.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"), "mcd")
     for _ in range(MOST_STEPS):
-        after = staged(_concentrated(rows, model, size, factor), "mcd")
-        moved = after.join(model.select("grp", F.col("det").alias("before")), "grp").agg(F.max(F.abs(F.col("det") / F.col("before") - 1))).first()[0]
-        model = after
+        model = staged(_concentrated(rows, model, size, factor), "mcd")
+        moved = model.agg(F.max(F.abs(F.col("det") / F.col("before") - 1))).first()[0]
         if (moved or 0) <= SETTLED:
             break
     middle = _quantile_bin(_binned(rows, model, size).groupBy("grp", "bin").agg(F.count("*").alias("n")), ["grp"], 0.5)
     scaled = F.exp((F.col("bin") + 0.5) / 64 - 21.0) / MEDIAN * CUT
-    return staged(model.join(middle.select("grp", scaled.alias("cut")), "grp").drop("start"), "mcd")
+    return staged(model.join(middle.select("grp", scaled.alias("cut")), "grp").drop("start", "before"), "mcd")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
