@@ -173,7 +173,7 @@ def _models(grp, start, before, mean: np.ndarray, cov: np.ndarray, factor: float
 
 def _from_moments(batches: Iterator[pd.DataFrame], factor: float) -> Iterator[pd.DataFrame]:
     for t in batches:
-        n = np.maximum(t["n"].to_numpy(float), 1.0)
+        n = t["n"].to_numpy(float)
         mean = np.stack([t[f"s{i}"].to_numpy(float) for i in range(P)], 1) / n[:, None]
         cov = np.zeros((len(t), P, P))
         for i, j in PAIRS:
@@ -196,14 +196,15 @@ def _binned(rows: DataFrame, model: DataFrame, size: int) -> DataFrame:
 def _concentrated(rows: DataFrame, model: DataFrame, size: int, factor: float) -> DataFrame:
     """One concentration step: the moments of the COVER share of rows that are nearest to the model.
 
-    Moments are summed by bin of distance in one pass over the rows; those of the inner bins, at most 2048 a model, are added.
+    Moments are summed by bin of distance in one pass over the rows; those of the inner bins, at most 2048 a model, are added,
+    the last one by the part that makes up the share, so that determinants of steps compare.
     """
     sums = {f"s{i}": F.col(f) for i, f in enumerate(FEATURES)} | {f"q{i}{j}": F.col(FEATURES[i]) * F.col(FEATURES[j]) for i, j in PAIRS}
     bins = _binned(rows, model, size).groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), F.max("det").alias("before"), *[F.sum(c).alias(k) for k, c in sums.items()])
     w = Window.partitionBy("grp", "start")
     within = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = bins.withColumn("inner", within < F.ceil(F.sum("n").over(w) * F.lit(COVER))).filter("inner")
-    moments = inner.groupBy("grp", "start").agg(F.sum("n").alias("n"), F.max("before").alias("before"), *[F.sum(k).alias(k) for k in sums])
+    inner = bins.withColumn("part", F.least((F.sum("n").over(w) * F.lit(COVER) - within) / F.col("n"), F.lit(1.0))).filter("part > 0")
+    moments = inner.groupBy("grp", "start").agg(F.max("before").alias("before"), *[F.sum(F.col("part") * F.col(k)).alias(k) for k in ["n", *sums]])
     return moments.coalesce(max(1, -(-size // MODELS_A_TASK))).mapInPandas(lambda b: _from_moments(b, factor), MODEL_SCHEMA)
 
 
@@ -239,12 +240,19 @@ def _first_models(rows: DataFrame, size: int) -> DataFrame:
     return staged(seen.mapInPandas(run, MODEL_SCHEMA), "mcd")
 
 
+def _least(models: DataFrame, size: int) -> DataFrame:
+    """The model of the least determinant of each group."""
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))
+    return models.withColumn("place", place).filter("place = 1").drop("place").coalesce(max(1, -(-size // MODELS_A_TASK)))
+
+
 def mcd_models(rows: DataFrame) -> DataFrame:
     """Per `grp`: centre, inverse scatter, its determinant before the consistency factor, and cut (rows: grp and FEATURES).
 
     A step keeps the COVER share of a group's distinct vectors that lie nearest to the present centre and takes their
     moments; all vectors take part in every step. Every start makes FIRST_STEPS of them, the one of the least
-    determinant goes on until no group's determinant changes by more than the share SETTLED (MOST_STEPS at most).
+    determinant goes on until no group's determinant falls by more than the share SETTLED (MOST_STEPS at most). A step that
+    raises a group's determinant, which bins can, is not taken, so that no group swings between two fits.
     """
     rows = staged(rows.distinct(), "vectors")
     size = rows.select("grp").distinct().count()
@@ -252,10 +260,10 @@ def mcd_models(rows: DataFrame) -> DataFrame:
     model = _first_models(rows, size)
     for _ in range(FIRST_STEPS):
         model = staged(_concentrated(rows, model, STARTS * size, factor), "mcd")
-    best = Window.partitionBy("grp").orderBy("det", "start")
-    model = staged(model.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"), "mcd")
+    model = staged(_least(model, size), "mcd")
     for _ in range(MOST_STEPS):
-        model = staged(_concentrated(rows, model, size, factor), "mcd")
+        step = _concentrated(rows, model, size, factor)
+        model = staged(_least(step.unionByName(model.withColumn("before", F.col("det"))), size), "mcd")
         moved = model.agg(F.max(F.abs(F.col("det") / F.col("before") - 1))).first()[0]
         if (moved or 0) <= SETTLED:
             break
