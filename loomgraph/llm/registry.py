@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, exact_dedup, html_text, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_files, toxicity
+from loomgraph.llm import byte_bpe, decontamination, exact_dedup, html_text, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op6_license_scan": license_scan.op6_license_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_decontamination": decontamination.op11_decontamination,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op6_license_scan": license_scan.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
 }
