@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, decontamination, exact_dedup, html_text, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_files, toxicity
+from loomgraph.llm import byte_bpe, decontamination, exact_dedup, html_text, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_files, toxicity, vector_codes
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_decontamination": decontamination.op11_decontamination,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 ORACLES = {
