@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, decontamination, exact_dedup, html_text, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_files, toxicity, vector_codes
+from loomgraph.llm import byte_bpe, conversation_repair, decontamination, exact_dedup, html_text, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_files, toxicity, vector_codes
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_decontamination": decontamination.op11_decontamination,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLES = {
