@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.config import EngineConfig
@@ -14,6 +14,10 @@ from loomgraph.functions.windows import argmax_first
 from loomgraph.operators.resolve import CodeGraph, by_qualified_name, resolved_supertypes
 from loomgraph.storage import cut_lineage
 
+# Edges that may be left when components are finished project by project; above it they are coloured in rounds.
+MOST_LOCAL_EDGES = 200_000
+TRIM_ROUNDS = 4
+
 
 def import_edges(graph: CodeGraph) -> DataFrame:
     hits = graph.imports.join(by_qualified_name(graph.components), F.col("name") == F.col("qualified_name"))
@@ -81,41 +85,152 @@ def canonical_cycles(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), " -> ").alias("path"))
 
 
-def back_edge_cycles(edges: DataFrame) -> DataFrame:
-    """One cycle for each back edge of a depth-first walk of each project: edges(project, ord, a, b) -> project, ord, path.
+def _trimmed(live: DataFrame) -> tuple[DataFrame, int]:
+    """Edges between nodes that have both a way in and a way out, as far as a few rounds tell, and their number."""
+    n = -1
+    for _ in range(TRIM_ROUNDS):
+        live = live.join(live.select("project", F.col("b").alias("a")).distinct(), ["project", "a"], "left_semi")
+        live = cut_lineage(live.join(live.select("project", F.col("a").alias("b")).distinct(), ["project", "b"], "left_semi").select("project", "a", "b"))
+        left = live.count()
+        if left in (0, n):
+            return live, left
+        n = left
+    return live, n
+
+
+def _spread(values: DataFrame, along: DataFrame, own: bool) -> DataFrame:
+    """The least value that reaches each node along edges (a to b), to a fixed point: values(project, node, value).
 
-    The walk is defined by order, so a project is one group; nodes on no cycle are taken off before it is gathered.
+    own: every node starts with a value, and takes a smaller one; else values go to nodes that have none.
     """
-    live = edges.filter("a <> b")
-    for _ in range(3):
-        live = live.join(live.select("project", F.col("b").alias("a")).distinct(), ["project", "a"], "left_semi")
-        live = live.join(live.select("project", F.col("a").alias("b")).distinct(), ["project", "b"], "left_semi")
+    while True:
+        sent = along.join(values.select("project", F.col("node").alias("a"), "value"), ["project", "a"]).groupBy("project", F.col("b").alias("node")).agg(F.min("value").alias("sent"))
+        if own:
+            news = cut_lineage(values.join(sent, ["project", "node"], "left").select("project", "node", F.least("value", "sent").alias("value"), (F.col("sent") < F.col("value")).alias("new")))
+            done = news.filter("new").isEmpty()
+            values = news.drop("new")
+        else:
+            news = cut_lineage(sent.join(values.select("project", "node"), ["project", "node"], "left_anti").withColumnRenamed("sent", "value"))
+            done = news.isEmpty()
+            values = values.unionByName(news)
+        if done:
+            return values
+        values = cut_lineage(values)
+
+
+def _components_of(group: pd.DataFrame) -> pd.DataFrame:
+    """Strongly connected components of two nodes or more of one project's edges, by an iterative low-link walk."""
+    follow: dict = {}
+    for a, b in group[["a", "b"]].itertuples(index=False):
+        follow.setdefault(a, []).append(b)
+    number, low, stack, held, out = {}, {}, [], set(), []
+    for start in follow:
+        if start in number:
+            continue
+        path = [(start, iter(follow[start]))]
+        number[start] = low[start] = len(number)
+        stack.append(start)
+        held.add(start)
+        while path:
+            node, rest = path[-1]
+            b = next(rest, None)
+            if b is None:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = [stack.pop()]
+                    while members[-1] != node:
+                        members.append(stack.pop())
+                    held.difference_update(members)
+                    if len(members) > 1:
+                        least = min(members)
+                        out += [(group["project"].iloc[0], m, least) for m in members]
+            elif b not in number:
+                number[b] = low[b] = len(number)
+                stack.append(b)
+                held.add(b)
+                path.append((b, iter(follow.get(b, ()))))
+            elif b in held:
+                low[node] = min(low[node], number[b])
+    return pd.DataFrame(out, columns=["project", "node", "component"])
+
+
+def strong_components(edges: DataFrame, most_local: int = MOST_LOCAL_EDGES) -> DataFrame:
+    """edges(project, a, b) -> (project, node, component): nodes on cycles, by the least node of their component.
+
+    Nodes without a way in or out are trimmed off. While more than `most_local` edges are left, every node takes the
+    least node that reaches it as its colour, and what reaches a colour's own node within the colour is its component;
+    components and edges between colours go, and the rest is trimmed again. The last `most_local` edges, of all
+    projects together, are finished project by project.
+    """
+    kind = edges.schema["a"].dataType.simpleString()
+    schema = f"project {edges.schema['project'].dataType.simpleString()}, node {kind}, component {kind}"
+    live = edges.filter("a <> b").select("project", "a", "b").distinct()
+    found = []
+    while True:
+        live, left = _trimmed(live)
+        if left <= most_local:
+            found.append(live.groupBy("project").applyInPandas(_components_of, schema))
+            return cut_lineage(reduce(DataFrame.unionByName, found))
+        nodes = live.select("project", F.col("a").alias("node"))
+        colour = _spread(nodes.distinct().withColumn("value", F.col("node")), live, True)
+        of = lambda end: colour.select("project", F.col("node").alias(end), F.col("value").alias(f"{end}_colour"))
+        inside = cut_lineage(live.join(of("a"), ["project", "a"]).join(of("b"), ["project", "b"]).filter("a_colour = b_colour").select("project", "a", "b", F.col("a_colour").alias("colour")))
+        back = inside.select("project", F.col("b").alias("a"), F.col("a").alias("b"))
+        reached = _spread(colour.filter("node = value"), back, False)
+        found.append(reached.join(inside.select("project", F.col("a").alias("node")).unionByName(inside.select("project", F.col("b").alias("node"))).distinct(), ["project", "node"], "left_semi").select("project", "node", F.col("value").alias("component")))
+        done = reached.select("project", "node")
+        live = inside.join(done.withColumnRenamed("node", "a"), ["project", "a"], "left_anti").join(done.withColumnRenamed("node", "b"), ["project", "b"], "left_anti").select("project", "a", "b")
+
+
+def back_edge_cycles(edges: DataFrame, most_local: int = MOST_LOCAL_EDGES) -> DataFrame:
+    """One cycle for each back edge of a depth-first walk: edges(project, ord, a, b) -> project, ord, path.
+
+    A cycle lies within one strongly connected component, so only components are walked, each as a group of its own,
+    from its first node in the order of edges; work is linear in a component's edges. Cycles are numbered within
+    their project by component (in the order of first edges), then as the walk meets them.
+    """
+    parts = strong_components(edges, most_local)
+    of = lambda end: parts.select("project", F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    inside = edges.filter("a <> b").groupBy("project", "a", "b").agg(F.min("ord").alias("ord")).join(of("a"), ["project", "a"]).join(of("b"), ["project", "b"]).filter("a_part = b_part")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
+        group = group.sort_values(["ord", "a", "b"])
         follow: dict = {}
         for a, b in group[["a", "b"]].itertuples(index=False):
             follow.setdefault(a, []).append(b)
         done, out = set(), []
-        for start in list(follow):
-            if start in done:
-                continue
-            stack, place, todo = [start], {start: 0}, [iter(follow[start])]
-            while todo:
-                b = next(todo[-1], None)
-                if b is None:
-                    done.add(stack[-1])
-                    del place[stack.pop()]
-                    todo.pop()
-                elif b in place:
-                    out.append([*map(str, stack[place[b] :]), str(b)])
-                elif b not in done:
-                    place[b] = len(stack)
-                    stack.append(b)
-                    todo.append(iter(follow.get(b, ())))
-        return pd.DataFrame({"project": [group["project"].iloc[0]] * len(out), "ord": range(len(out)), "path": out})
-
-    return live.groupBy("project").applyInPandas(walk, "project string, ord int, path array<string>")
+        start = next(iter(follow))
+        stack, place, todo = [start], {start: 0}, [iter(follow[start])]
+        while todo:
+            b = next(todo[-1], None)
+            if b is None:
+                done.add(stack[-1])
+                del place[stack.pop()]
+                todo.pop()
+            elif b in place:
+                out.append([*map(str, stack[place[b] :]), str(b)])
+            elif b not in done:
+                place[b] = len(stack)
+                stack.append(b)
+                todo.append(iter(follow[b]))
+        own = group[["project", "ord", "a_part"]].iloc[[0] * len(out)].to_dict("list")
+        return pd.DataFrame({**own, "nth": range(len(out)), "path": out})
+
+    kinds = [edges.schema[c].dataType.simpleString() for c in ("project", "ord", "a")]
+    found = inside.groupBy("project", "a_part").applyInPandas(walk, f"project {kinds[0]}, ord {kinds[1]}, a_part {kinds[2]}, nth int, path array<string>")
+    numbered = F.row_number().over(Window.partitionBy("project").orderBy("ord", "a_part", "nth")) - 1
+    return cut_lineage(found).select("project", numbered.alias("ord"), "path")
+
+
+def component_cycles(components: DataFrame, edges: DataFrame, project: str = "project") -> DataFrame:
+    """Cycles of the dependency graph by qualified name, edges in scan order of their ends; paths show simple names."""
+    ids = components.select("component_id", "qualified_name")
+    named = edges.join(ids.select(F.col("component_id").alias("from_id"), F.col("qualified_name").alias("a")), "from_id").join(ids.select(F.col("component_id").alias("to_id"), F.col("qualified_name").alias("b")), "to_id")
+    ordered = named.groupBy("a", "b").agg(F.min(F.struct("from_id", "to_id")).alias("ord")).withColumn("project", F.lit(project))
+    ordered = ordered.withColumn("ord", F.concat(F.lpad(F.col("ord.from_id").cast("string"), 20, "0"), F.lit(":"), F.lpad(F.col("ord.to_id").cast("string"), 20, "0")))
+    return back_edge_cycles(ordered).withColumn("path", F.transform("path", lambda x: F.substring_index(x, ".", -1)))
 
 
 def inheritance_chains(graph: CodeGraph) -> DataFrame:

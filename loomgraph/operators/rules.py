@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.config import EngineConfig
 from loomgraph.functions.exprs import is_test_path, last_segment
-from loomgraph.functions.windows import first_per_key
+from loomgraph.functions.windows import first_per_key, numbered_in_order
 from loomgraph.operators.graph import inheritance_chains
 from loomgraph.operators.resolve import CodeGraph, implementors, resolve_names, resolved_supertypes
 
@@ -79,9 +79,9 @@ def deep_inheritance(g: CodeGraph, cfg: EngineConfig = EngineConfig()) -> DataFr
 
 
 def circular_dependencies(cycles: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """cycles(path text), the first by their text."""
-    df = cycles.orderBy("path").limit(cfg.cycle_findings).withColumn("component_id", F.lit(0).cast("long"))
-    return findings(df, 7, "WARNING", text("Circular dependency: {}", "path"), F.lit("Break the cycle by extracting a shared interface or moving shared logic to a separate class."), here())
+    """cycles(ord, path array) of one project, the first ones in the order of the walk."""
+    shown = cycles.orderBy("ord").limit(cfg.cycle_findings).select(F.array_join("path", " -> ").alias("path"), F.col("ord").cast("long").alias("component_id"))
+    return findings(shown, 7, "WARNING", text("Circular dependency: {}", "path"), F.lit("Break the cycle by extracting a shared interface or moving shared logic to a separate class."), here())
 
 
 def dependency_inversion(g: CodeGraph, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -122,6 +122,5 @@ def all_findings(g: CodeGraph, cycles: DataFrame, cfg: EngineConfig = EngineConf
 
 
 def in_report_order(found: DataFrame) -> DataFrame:
-    """Findings with ord: by severity, file, rule and item. Numbered within severity and file so that no single task sorts all."""
-    w = Window.partitionBy("severity_rank", "file").orderBy("rule_ord", "item", "message")
-    return found.withColumn("ord_in_file", F.row_number().over(w))
+    """Findings with ord: numbered from 1 by severity, file, rule, item and message, over all rows without a single-task sort."""
+    return numbered_in_order(found, "ord", "severity_rank", "file", "rule_ord", "item", "message", "suggestion")

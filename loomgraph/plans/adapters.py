@@ -6,6 +6,8 @@ definition of the input and differ in everything after it.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.operators.resolve import CodeGraph, classified
@@ -82,7 +84,28 @@ def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+class StagedGraph:
+    """The graph of one fixture; a relation becomes a table when it is first asked for, and then serves every join."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._read = lambda sql: table(spark, sf_dir, sql)
+
+    @cached_property
+    def annotations(self) -> DataFrame:
+        return self._read(ANNOTATIONS)
+
+    @cached_property
+    def components(self) -> DataFrame:
+        return cut_lineage(classified(self._read(COMPONENTS), self.annotations))
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return cut_lineage(self._read(IMPORTS))
+
+    @cached_property
+    def supertypes(self) -> DataFrame:
+        return cut_lineage(self._read(SUPERTYPES))
+
+
 def code_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """The graph of one fixture: each relation is a table written once, whatever a query joins it with."""
-    parts = [table(spark, sf_dir, s) for s in (COMPONENTS, IMPORTS, SUPERTYPES, ANNOTATIONS)]
-    return CodeGraph(*(cut_lineage(p) for p in (classified(parts[0], parts[3]), *parts[1:3])), parts[3])
+    return StagedGraph(spark, sf_dir)

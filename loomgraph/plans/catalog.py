@@ -277,23 +277,87 @@ _CYCLES = f"""WITH RECURSIVE {_TRANS},
     cycles AS (SELECT array_to_string(list_append(nodes, head), ' -> ') AS path FROM w JOIN t ON t.a = w.last AND t.b = w.head) """
 register("canonical_cycles")(lambda spark, sf_dir: graph.canonical_cycles(_transitions(spark, sf_dir)))
 ORACLES["canonical_cycles"] = _CYCLES + "SELECT path FROM cycles"
-register("rule_circular")(lambda spark, sf_dir: rules.circular_dependencies(graph.canonical_cycles(_transitions(spark, sf_dir))).select(*FOUND))
-ORACLES["rule_circular"] = (
-    _CYCLES
-    + "SELECT 'WARNING' AS severity, 'Circular dependency: ' || path AS message, '.' AS file, 'Break the cycle by extracting a shared interface or moving shared logic to a separate class.' AS suggestion FROM (SELECT path FROM cycles ORDER BY path LIMIT 10)"
-)
+# The walk itself as a recursion, one move a row: take the next start, follow the next edge, or step back. `adj` lists
+# the edges between nodes that reach each other; `seen` are nodes entered, `at` how many edges each open node has used.
+_WALK = """WITH RECURSIVE e AS (SELECT project, a, b, min(ord) AS ord FROM raw WHERE a <> b GROUP BY ALL),
+    reach AS (SELECT project, a, b FROM e UNION SELECT r.project, r.a, e.b FROM reach r JOIN e ON e.project = r.project AND e.a = r.b),
+    inner_e AS (SELECT e.* FROM e JOIN reach r ON r.project = e.project AND r.a = e.b AND r.b = e.a),
+    adj AS (SELECT project, a, list(b ORDER BY ord, b) AS bs, min(ord) AS first FROM inner_e GROUP BY 1, 2),
+    g AS (SELECT project, list(a ORDER BY first, a) AS starts, map(list(a), list(bs)) AS follow FROM adj GROUP BY 1),
+    dfs AS (SELECT project, starts, follow, 0 AS n, CAST([] AS VARCHAR[]) AS stack, CAST([] AS BIGINT[]) AS pos, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR[]) AS path FROM g
+      UNION ALL
+      SELECT project, starts, follow, n + 1,
+        CASE WHEN len(stack) = 0 THEN [start] WHEN b IS NULL THEN stack[1 : len(stack) - 1] WHEN list_contains(seen, b) THEN stack ELSE list_append(stack, b) END,
+        CASE WHEN len(stack) = 0 THEN [CAST(0 AS BIGINT)] WHEN b IS NULL THEN pos[1 : len(pos) - 1] WHEN list_contains(seen, b) THEN used ELSE list_append(used, 0) END,
+        CASE WHEN len(stack) = 0 THEN list_append(seen, start) WHEN b IS NULL OR list_contains(seen, b) THEN seen ELSE list_append(seen, b) END,
+        CASE WHEN len(stack) > 0 AND list_contains(stack, b) THEN list_append(stack[list_position(stack, b) :], b) END
+      FROM (SELECT *, list_filter(starts, lambda x: NOT list_contains(seen, x))[1] AS start, CASE WHEN len(stack) > 0 THEN follow[stack[-1]][pos[-1] + 1] END AS b,
+              CASE WHEN len(pos) > 0 THEN list_append(pos[1 : len(pos) - 1], pos[-1] + 1) END AS used FROM dfs)
+      WHERE len(stack) > 0 OR start IS NOT NULL),
+    cycles AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY n) - 1 AS ord, array_to_string(path, ' -> ') AS path FROM dfs WHERE path IS NOT NULL) """
+_ONE_GRAPH = "raw AS (SELECT 'events' AS project, a, b, event_id AS ord FROM (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, event_id FROM events) WHERE b IS NOT NULL)"
+_BY_USER = _ONE_GRAPH.replace("'events' AS project", "CAST(user_id AS VARCHAR) AS project").replace("AS b, event_id FROM", "AS b, event_id, user_id FROM")
+
+
+def _walked(raw: str, sql: str) -> str:
+    return _WALK.replace("WITH RECURSIVE ", f"WITH RECURSIVE {raw}, ", 1) + sql
+
+
+def _event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _transitions(spark, sf_dir).groupBy("a", "b").agg(F.min("event_id").alias("ord")).withColumn("project", F.lit("events"))
+    return graph.back_edge_cycles(t)
+
+
+_CIRCULAR = "SELECT 'WARNING' AS severity, 'Circular dependency: ' || path AS message, '.' AS file, 'Break the cycle by extracting a shared interface or moving shared logic to a separate class.' AS suggestion"
+register("rule_circular")(lambda spark, sf_dir: rules.circular_dependencies(_event_cycles(spark, sf_dir)).select(*FOUND))
+ORACLES["rule_circular"] = _walked(_ONE_GRAPH, f"{_CIRCULAR} FROM cycles WHERE ord < 10")
 
 
 @register("cycles_by_project")
 def _cycles_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _transitions(spark, sf_dir).groupBy("a", "b").agg(F.min("event_id").alias("ord")).withColumn("project", F.lit("events"))
-    return graph.back_edge_cycles(t)
+    """Every user's transitions are the graph of one project."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    t = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("project"), F.col("event_id").alias("ord"), F.col("event_type").alias("a"), F.lead("event_type").over(w).alias("b"))
+    return graph.back_edge_cycles(t.filter("b is not null")).select("project", F.col("ord").cast("long").alias("ord"), F.array_join("path", " -> ").alias("path"))
+
+
+ORACLES["cycles_by_project"] = _walked(_BY_USER, "SELECT project, ord, path FROM cycles")
+register("cycles_of_components")(lambda spark, sf_dir: _component_cycles(code_graph(spark, sf_dir)))
+
+
+def _component_cycles(g: resolve.CodeGraph) -> DataFrame:
+    return graph.component_cycles(g.components, _edges(g)).select(F.col("ord").cast("long").alias("ord"), F.array_join("path", " -> ").alias("path"))
 
 
 @register("findings_sorted")
 def _findings_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = code_graph(spark, sf_dir)
-    return rules.in_report_order(rules.all_findings(g, graph.canonical_cycles(_transitions(spark, sf_dir)))).select("severity_rank", "file", "ord_in_file", "message")
+    found = rules.in_report_order(rules.all_findings(code_graph(spark, sf_dir), _event_cycles(spark, sf_dir)))
+    return found.select("ord", "severity_rank", "file", "rule_ord", "message")
+
+
+def _sorted_oracle() -> str:
+    """All nine rules' statements, numbered by severity, file, rule, item and message; items are the rules' own."""
+    tables = ", ".join(f"{n} AS ({BASE[n]})" for n in BASE if n not in ("symbols", "refs", "exact", "lone", "rimp", "resolved", "used"))
+    items = f"""r1 AS (SELECT component_id AS item, path AS file, CASE WHEN {_LAST} IN {_FORBIDDEN} THEN 'FORBIDDEN' ELSE 'WARNING' END AS severity, '`' || simple_name || '` is a ' || lower(role) || ' class' AS message FROM c WHERE role IN ('MANAGER', 'HELPER', 'UTIL')),
+    r2 AS (SELECT min(component_id) AS item, '.' AS file, 'FORBIDDEN' AS severity, 'Package `' || package_name || '` uses forbidden name `' || {_LAST} || '`' AS message FROM c0 WHERE {_LAST} IN {_FORBIDDEN} GROUP BY package_name),
+    r3 AS (SELECT component_id AS item, path AS file, 'WARNING' AS severity, '`' || simple_name || '` contains forbidden pattern `' || p || '`' AS message FROM (SELECT *, regexp_extract(simple_name, 'Helper|Manager|Utils|Util') AS p FROM c0) WHERE p <> '' AND NOT {_TESTLIKE}),
+    r4 AS (SELECT iface_id AS item, i.path AS file, 'INFO' AS severity, 'Interface `' || i.simple_name || '` has only one implementation: `' || m.simple_name || '`' AS message FROM (SELECT iface_id, min(impl_id) AS impl_id FROM impl GROUP BY 1 HAVING count(*) = 1) x JOIN c0 i ON i.component_id = iface_id JOIN c0 m ON m.component_id = impl_id),
+    r5 AS (SELECT component_id AS item, path AS file, 'WARNING' AS severity, '`' || simple_name || '` may be doing too much (' || concat_ws(', ', CASE WHEN n > 30 THEN n || ' imports' END, CASE WHEN n_methods > 25 THEN n_methods || ' methods' END, CASE WHEN line_count > 1000 THEN line_count || ' lines' END) || ')' AS message
+      FROM c LEFT JOIN (SELECT component_id, count(*) AS n FROM imports GROUP BY 1) USING (component_id) WHERE role <> 'CONFIGURATION' AND (n > 30 OR n_methods > 25 OR line_count > 1000)),
+    r6 AS (SELECT component_id AS item, path AS file, 'WARNING' AS severity, '`' || simple_name || '` has inheritance depth ' || depth || ': ' || chain AS message FROM chains JOIN c0 USING (component_id) WHERE depth >= 3 AND NOT is_interface),
+    r7 AS (SELECT ord AS item, '.' AS file, 'WARNING' AS severity, 'Circular dependency: ' || path AS message FROM cycles WHERE ord < 10),
+    r8 AS ({_DI.replace("SELECT s AS severity, m AS message, path AS file, a AS suggestion FROM", "SELECT owner_id AS item, path AS file, s AS severity, m AS message FROM", 1)}),
+    r9 AS (SELECT 0 AS item, '.' AS file, 'INFO' AS severity, n || ' classes have no corresponding test file' AS message FROM (SELECT count(*) AS n FROM ({_OPEN})) WHERE n > 10
+      UNION ALL SELECT component_id, path, 'INFO', '`' || simple_name || '` has no test' FROM ({_OPEN}) WHERE (SELECT count(*) FROM ({_OPEN})) <= 10)"""
+    every = " UNION ALL ".join(f"SELECT {i} AS rule_ord, item, file, severity, message FROM r{i}" for i in range(1, 10))
+    walk = _WALK.replace("WITH RECURSIVE ", "", 1)
+    return f"""WITH RECURSIVE {tables}{_CHAINS}, {_ONE_GRAPH}, {walk}, {items}, f AS (SELECT *, CASE severity WHEN 'FORBIDDEN' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END AS severity_rank FROM ({every}))
+    SELECT row_number() OVER (ORDER BY severity_rank, file, rule_ord, item, message) AS ord, severity_rank, file, rule_ord, message FROM f"""
+
+
+ORACLES["findings_sorted"] = _sorted_oracle()
 
 
 _over_graph("greedy_chain", "", None, lambda g: graph.greedy_chains(g.components, _edges(g), g.components.filter("has_main")))

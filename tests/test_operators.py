@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from loomgraph.config import EngineConfig
@@ -62,10 +64,92 @@ def test_cycles_of_any_length(spark):
     e = spark.createDataFrame(ring, "a long, b long")
     cycles = graph.canonical_cycles(e)
     assert [r.path for r in cycles.collect()] == ["0 -> 1 -> 2 -> 3 -> 4 -> 5 -> 6 -> 0"]
-    assert messages(rules.circular_dependencies(cycles)) == [("WARNING", "Circular dependency: 0 -> 1 -> 2 -> 3 -> 4 -> 5 -> 6 -> 0")]
+    walked = graph.back_edge_cycles(e.selectExpr("'p' AS project", "a * 100 + b AS ord", "a", "b"))
+    assert messages(rules.circular_dependencies(walked)) == [("WARNING", "Circular dependency: 0 -> 1 -> 2 -> 3 -> 4 -> 5 -> 6 -> 0")]
     assert graph.canonical_cycles(e.filter("a < b")).count() == 0
 
 
+def walked(edges):
+    """The cycles of one project by a plain recursive walk of each component: edges [(ord, a, b)]."""
+    pairs = {}
+    for o, a, b in edges:
+        if a != b:
+            pairs[a, b] = min(o, pairs.get((a, b), o))
+    reach = {n: set() for p in pairs for n in p}
+    for a in reach:
+        todo = [a]
+        while todo:
+            x = todo.pop()
+            new = {b for f, b in pairs if f == x} - reach[a]
+            reach[a] |= new
+            todo += new
+    inner = sorted((o, a, b) for (a, b), o in pairs.items() if a in reach[b])
+    follow, seen, out = {}, set(), []
+    for _, a, b in inner:
+        follow.setdefault(a, []).append(b)
+
+    def visit(a, stack):
+        seen.add(a)
+        for b in follow[a]:
+            if b in stack:
+                out.append([*stack[stack.index(b) :], b])
+            elif b not in seen:
+                visit(b, [*stack, b])
+
+    for a in follow:
+        if a not in seen:
+            visit(a, [a])
+    return out, {frozenset(m for m in reach if m in reach[n] and n in reach[m]) for n in reach if n in reach[n]}
+
+
+@pytest.mark.parametrize("most_local", [10_000, 0])
+def test_components_and_walks_equal_brute_force(spark, most_local):
+    rng = random.Random(3)
+    graphs = {"tree": [(i, i // 2, i) for i in range(1, 9)], "ring": [(i, i, (i + 1) % 5) for i in range(5)], "two": [(0, 5, 1), (1, 1, 2), (2, 2, 1), (3, 2, 7), (4, 7, 8), (5, 8, 7), (6, 5, 5)]}
+    graphs["mixed"] = [(i, rng.randrange(24), rng.randrange(24)) for i in range(40)]
+    e = spark.createDataFrame([(p, *x) for p, xs in graphs.items() for x in xs], "project string, ord long, a long, b long")
+    parts = {}
+    for r in graph.strong_components(e, most_local).collect():
+        parts.setdefault((r.project, r.component), set()).add(r.node)
+    got = {}
+    for r in graph.back_edge_cycles(e, most_local).orderBy("project", "ord").collect():
+        got.setdefault(r.project, []).append([int(x) for x in r.path])
+    for p, xs in graphs.items():
+        cycles, comps = walked(xs)
+        assert {frozenset(m) for (q, _), m in parts.items() if q == p} == comps
+        assert got.get(p, []) == cycles
+
+
+def test_complete_graph_ends_soon(spark):
+    pairs = [("k", i * 12 + j, i, j) for i in range(12) for j in range(12) if i != j]
+    cycles = graph.back_edge_cycles(spark.createDataFrame(pairs, "project string, ord long, a long, b long"))
+    assert cycles.count() == 66  # of 132 edges 11 lead to a new node, 55 to a finished one
+    assert messages(rules.circular_dependencies(cycles))[0][1].startswith("Circular dependency: 0 -> 1 -> ")
+
+
+def test_component_cycles_show_simple_names(spark):
+    g = code(spark, [("A", "p"), ("B", "q"), ("C", "p")], imports=[(0, "q.B"), (1, "p.A"), (2, "p.A")])
+    assert [r.path for r in graph.component_cycles(g.components, graph.import_edges(g)).collect()] == [["A", "B", "A"]]
+
+
+def test_report_order_is_total(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(1, 10), ("FORBIDDEN", "WARNING", "INFO")[k], k, f"m{rng.randrange(40)}", f"f{rng.randrange(4)}", "s", rng.randrange(5)) for k in [rng.randrange(3) for _ in range(500)]]
+    schema = "rule_ord int, severity string, severity_rank int, message string, file string, suggestion string, item long"
+    got = [(r.ord, (r.severity_rank, r.file, r.rule_ord, r.item, r.message)) for r in rules.in_report_order(spark.createDataFrame(rows, schema).repartition(7)).collect()]
+    assert [k for _, k in sorted(got)] == sorted((r[2], r[4], r[0], r[6], r[3]) for r in rows) and sorted(o for o, _ in got) == list(range(1, 501))
+    assert rules.in_report_order(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_greedy_chain(spark):
+    # 0 leads to 1 (two ways on) before 2 (one); 1 to 3, whose only way back is taken already; 4 is configuration
+    g = code(spark, [("A", "p"), ("B", "p"), ("C", "p"), ("D", "p"), ("E", "p")], annotations=[(4, "Configuration")])
+    e = spark.createDataFrame([(0, 1), (0, 2), (0, 4), (1, 3), (1, 0), (2, 3), (3, 0), (4, 0), (4, 1), (4, 2)], "from_id long, to_id long")
+    chains = graph.greedy_chains(g.components, e, g.components.filter("component_id in (0, 2)"))
+    assert sorted((r.entry, r.chain) for r in chains.collect()) == [(0, "0 -> 1 -> 3"), (2, "2 -> 3 -> 0 -> 1")]
+    assert [r.chain for r in graph.greedy_chains(g.components, e, g.components.filter("component_id = 2"), hops=1).collect()] == ["2 -> 3"]
+
+
 def test_same_package_reference(spark):
     g = code(spark, [("A", "p"), ("Bé", "p"), ("A", "q"), ("Cc", "p")])
     texts = spark.createDataFrame([(0, "val x: Bé = Ccc // Cc"), (3, "// A\n/* A */ call(Bé)")], "component_id long, code_text string")
