@@ -502,7 +502,7 @@ register("extract_symbols")(lambda spark, sf_dir: files.symbols_of(files.parse_f
 ORACLES["extract_symbols"] = check("c0", "SELECT 1").removesuffix(" SELECT 1") + f""", {_BASED}
     SELECT file AS path, simple_name AS name, qualified_name, CASE component_id % 3 WHEN 0 THEN 'DATA_CLASS' WHEN 1 THEN 'CLASS' ELSE 'INTERFACE' END AS kind, l AS line, package_name FROM b
     UNION ALL SELECT file, simple_name || '.' || m, qualified_name || '.' || m, k, l + d, package_name FROM b, (VALUES ('m0', 'FUNCTION', 2), ('m1', 'FUNCTION', 3), ('p', 'PROPERTY', 4)) v(m, k, d)"""
-register("extract_refs")(lambda spark, sf_dir: files.refs_of(files.parse_files(_rendered(spark, sf_dir))).drop("ord"))
+register("extract_refs")(lambda spark, sf_dir: files.refs_of(files.parse_files(_rendered(spark, sf_dir))).drop("ord", "qualifier"))
 ORACLES["extract_refs"] = check("c0", "SELECT 1").removesuffix(" SELECT 1") + f""", {_BASED}, r AS (SELECT file, l, 'S' || component_id % 10 AS s FROM b)
     SELECT file AS path, 'UUID' AS target_name, 'java.util.UUID' AS target_qualified_name, 'IMPORT' AS kind, l - 4 AS line, 'import java.util.UUID' AS context FROM r
     UNION ALL SELECT file, s, 'com.shop.supplier.' || s, 'IMPORT', l - 3, 'import com.shop.supplier.' || s FROM r

@@ -272,7 +272,7 @@ class Source:
         return out
 
     def references(self) -> list[tuple]:
-        """(target_name, target_qualified_name, kind, line, context): imports, supertypes and, in Kotlin, calls."""
+        """(target_name, target_qualified_name, kind, line, context, qualifier): imports, supertypes and, in Kotlin, calls."""
         known = {}
         for name, _ in self.imports:
             if not name.endswith("*"):
@@ -280,10 +280,10 @@ class Source:
         out = []
         for name, at in self.imports:
             path = name.removesuffix(".*")
-            out.append((path.rpartition(".")[2], path, "IMPORT", self.line(at), f"import {name}"))
+            out.append((path.rpartition(".")[2], path, "IMPORT", self.line(at), f"import {name}", None))
         types = [t for t in self.types if t.kind != "OBJECT"] if self.kotlin else [t for t in self.types if not t.outer]
         for t in types:
-            out += [(s.rpartition(".")[2], known.get(s.rpartition(".")[2]), "SUPERTYPE", self.line(t.at), s) for s in t.supertypes]
+            out += [(s.rpartition(".")[2], known.get(s.rpartition(".")[2]), "SUPERTYPE", self.line(t.at), s, None) for s in t.supertypes]
         if self.kotlin:
             out += [self._call(i, known) for i in self._calls()]
         return out
@@ -300,7 +300,8 @@ class Source:
         t: Token = self.ts[i]
         stop = self.ts[self.close[i + 1]].at + 1 if i + 1 in self.close else len(self.text)
         kind = "CONSTRUCTOR" if t.text[0].isupper() else "CALL"
-        return t.text, known.get(t.text), kind, self.line(t.at), self.text[t.at : stop][:CONTEXT]
+        behind = self._t(i - 1) in (".", "?.") and self._name(i - 2)
+        return t.text, known.get(t.text), kind, self.line(t.at), self.text[t.at : stop][:CONTEXT], self._t(i - 2) if behind else None
 
     def metadata(self, file_name: str) -> tuple:
         """(package, qualified name, simple name, imports, annotations, supertypes, flags..., methods, line) of the file's one component."""

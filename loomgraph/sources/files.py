@@ -13,7 +13,7 @@ from loomgraph.functions.exprs import code_lines
 from loomgraph.sources.declarations import Source, dependencies
 
 SYMBOL = "name string, qualified_name string, kind string, line int, package_name string"
-REF = "target_name string, target_qualified_name string, kind string, line int, context string"
+REF = "target_name string, target_qualified_name string, kind string, line int, context string, qualifier string"
 META = (
     "package_name string, qualified_name string, simple_name string, imports array<string>, annotations array<string>, supertypes array<string>, is_interface boolean, "
     "is_abstract boolean, is_object boolean, is_data_class boolean, language string, methods array<string>, declaration_line int"
@@ -75,7 +75,10 @@ def refs_of(parsed: DataFrame) -> DataFrame:
 
 
 def metadata_of(files: DataFrame) -> DataFrame:
-    """One component a Kotlin or Java file (not scripts), with its code lines counted in the JVM."""
+    """One component a Kotlin or Java file (not scripts), with its code lines counted in the JVM.
+
+    A file that cannot be parsed gives a row with its path and parse_error only.
+    """
     names = [f.split(" ")[0] for f in META.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,13 +86,13 @@ def metadata_of(files: DataFrame) -> DataFrame:
             rows = []
             for path, ext, text, n in b[["path", "ext", "text", "line_count"]].itertuples(index=False):
                 try:
-                    rows.append((path, *Source(text or "", ext == "kt").metadata(path.rpartition("/")[2]), n))
-                except (IndexError, KeyError, RecursionError, ValueError):
-                    continue
-            yield pd.DataFrame(rows, columns=["path", *names, "line_count"])
+                    rows.append((path, *Source(text or "", ext == "kt").metadata(path.rpartition("/")[2]), n, None))
+                except (IndexError, KeyError, RecursionError, ValueError) as e:
+                    rows.append((path, *[None] * (len(names) + 1), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", *names, "line_count", "parse_error"]).astype(object)
 
     read = files.filter(F.col("ext").isin("kt", "java")).select("path", "ext", "text", code_lines(F.col("text")).alias("line_count"))
-    return read.mapInPandas(run, f"path string, {META}, line_count long")
+    return read.mapInPandas(run, f"path string, {META}, line_count long, parse_error string")
 
 
 def script_dependencies(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_SCOPES, skipped: tuple[str, ...] = SKIPPED_CALLS) -> DataFrame:

@@ -41,7 +41,7 @@ def test_kotlin_symbols():
 
 
 def test_kotlin_references():
-    got = [(n, q, k) for n, q, k, _, _ in Source(KOTLIN, True).references()]
+    got = [(n, q, k) for n, q, k, *_ in Source(KOTLIN, True).references()]
     assert got == [
         ("Repo", "com.example.Repo", "IMPORT"), ("test", "kotlin.test", "IMPORT"), ("C", "a.b.C", "IMPORT"), ("Base", None, "SUPERTYPE"), ("Face", None, "SUPERTYPE"),
         ("Helper", None, "CONSTRUCTOR"), ("run", None, "CALL"), ("two", None, "CALL"), ("listOf", None, "CALL"),
@@ -57,7 +57,7 @@ def test_kotlin_metadata():
 def test_java():
     s = Source(JAVA, False)
     assert [(n, k) for n, _, k, _, _ in s.symbols()] == [("A", "CLASS"), ("A.A", "FUNCTION"), ("A.go", "FUNCTION"), ("A.x", "PROPERTY"), ("A.y", "PROPERTY"), ("In", "CLASS"), ("In.m", "FUNCTION"), ("E2", "ENUM"), ("E2.z", "PROPERTY"), ("V", "CLASS")]
-    assert [(n, q, k) for n, q, k, _, _ in s.references()] == [("List", "java.util.List", "IMPORT"), ("Base", "p.z.Base", "IMPORT"), ("Base", "p.z.Base", "SUPERTYPE"), ("F", None, "SUPERTYPE"), ("G", None, "SUPERTYPE")]
+    assert [(n, q, k) for n, q, k, *_ in s.references()] == [("List", "java.util.List", "IMPORT"), ("Base", "p.z.Base", "IMPORT"), ("Base", "p.z.Base", "SUPERTYPE"), ("F", None, "SUPERTYPE"), ("G", None, "SUPERTYPE")]
     assert s.metadata("A.java")[7] and s.metadata("A.java")[11] == ["A", "go"]
 
 
@@ -108,3 +108,45 @@ def test_reports(spark, tmp_path):
     with pytest.raises(ValueError, match="not inside"):
         reports.clean(str(tmp_path), "../x")
     assert reports.clean(str(tmp_path), "out") and not reports.clean(str(tmp_path), "out")
+
+
+API = """package com.example
+
+class Api {
+    fun fetch(): String = "data"
+}
+
+class Client(private val api: Api) {
+    fun load(): String = api.fetch()
+}
+"""
+
+
+def test_calls_from_source_go_to_the_type_of_their_receiver(spark):
+    from loomgraph.operators import receivers
+
+    other = "package com.example\n\nclass Other {\n    fun fetch() = 1\n}\n\ndata class Both(\n    val a: Other,\n    var b: com.x.Api,\n) {\n    fun go() = a?.fetch()\n    fun self() = this.fetch()\n}\n"
+    imported = "package com.far\n\nimport com.example.Other\n\nclass Far(val api: Other) {\n    fun run() = api.fetch()\n}\n"
+    files = [("/Api.kt", "kt", API), ("/Other.kt", "kt", other), ("/Far.kt", "kt", imported), ("/Empty.kt", "kt", None), ("/J.java", "java", "class J { void fetch() {} }")]
+    df = spark.createDataFrame(files, "path string, ext string, text string")
+    got = sorted(map(tuple, receivers.calls_of_sources(df).collect()))
+    same_package = [("com.example.Both.self", f"com.example.{c}.fetch") for c in ("Api", "Other")]
+    assert got == sorted([("com.example.Client.load", "com.example.Api.fetch"), ("com.example.Both.go", "com.example.Other.fetch"), ("com.far.Far.run", "com.example.Other.fetch"), *same_package])
+    assert receivers.calls_of_sources(df.filter("path = '/Empty.kt'")).count() == 0
+
+
+def test_receiver_of_the_context_comes_first(spark):
+    from loomgraph.operators import receivers
+
+    symbols = spark.createDataFrame([(1, "K", "p.K", "CLASS", "f", 1, "p"), (2, "A", "p.A", "CLASS", "g", 1, "p"), (3, "B", "p.B", "CLASS", "g", 9, "p")], "symbol_id long, name string, qualified_name string, kind string, file string, line int, package_name string")
+    calls = [(1, "m", None, "CALL", "f", 2, "x.m(1)", "y"), (2, "m", None, "CALL", "f", 2, "m(1)", "y"), (3, "m", None, "CALL", "f", 2, "this.m(1)", "this"), (4, "m", None, "CALL", "f", 2, "m(1)", None), (5, "m", None, "NAME_REF", "f", 2, "x.m(1)", "x")]
+    refs = spark.createDataFrame(calls, "ref_id long, target_name string, target_qualified_name string, kind string, file string, line int, context string, qualifier string")
+    files = spark.createDataFrame([("f", "class K(val x: A, val y: B) {\n}"), ("g", "\n")], "path string, text string")
+    assert {r.ref_id: r.receiver for r in receivers.bind_receivers(symbols, refs, files).collect()} == {1: "p.A", 2: "p.B", 3: None, 4: None, 5: None}
+
+
+def test_a_broken_file_keeps_a_row(spark):
+    df = spark.createDataFrame([("/A.kt", "kt", "class A"), ("/B.kt", "kt", "class B {" * 3000)], "path string, ext string, text string")
+    got = {r.path: r for r in files.metadata_of(df).collect()}
+    assert got["/A.kt"].parse_error is None and got["/A.kt"].simple_name == "A"
+    assert got["/B.kt"].parse_error.startswith("RecursionError") and got["/B.kt"].simple_name is None
