@@ -101,10 +101,14 @@ def node_id(name: Column) -> Column:
     return F.regexp_replace(name, "[^a-zA-Z0-9]", "_")
 
 
+def enum_like(name: Column) -> Column:
+    """Named as a constant: capitals, digits and underscores only, or with a dot."""
+    return name.rlike(r"^[\p{Lu}\p{Nd}_]+$") | name.contains(".")
+
+
 def interface_like(name: Column) -> Column:
     """Named as an interface: a role ending, or I and a capital; not an enum-like constant."""
-    enum_like = name.rlike(r"^[A-Z0-9_]+$") | name.contains(".")
-    return ~enum_like & (name.rlike("(Service|Repository|Provider|Factory)$") | name.rlike(r"^I[A-Z]") & (F.length(name) > 2))
+    return ~enum_like(name) & (name.rlike("(Service|Repository|Provider|Factory)$") | name.rlike(r"^I[A-Z]") & (F.length(name) > 2))
 
 
 def mock_like(name: Column) -> Column:

@@ -10,10 +10,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.exprs import last_segment, mock_like
+from loomgraph.functions.exprs import enum_like, interface_like, last_segment
 from loomgraph.functions.windows import first_per_key, last_per_key
 from loomgraph.operators.graph import graph_roots
-from loomgraph.operators.rollup import totals
+from loomgraph.operators.rollup import named_counts, totals
 
 # Build and configuration files that a search covers beside sources.
 BUILD_FILES = ("build.gradle.kts", "settings.gradle.kts", "gradle.properties", "libs.versions.toml", "workspace.json")
@@ -188,15 +188,21 @@ def receiver_types(classes: DataFrame, imports: DataFrame, symbols: DataFrame) -
     return last_per_key(typed.select("file", "property", "type", "symbol_id", "pos"), ["file", "property"], "symbol_id", "pos").select("file", "property", "type")
 
 
-def interfaces_from_findings(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """findings(message, project) that name an interface, with implementations and mocks among classes(name): one row a name."""
-    named = found.select(F.regexp_extract("message", r"Interface `(\w+)` has", 1).alias("name"), "project").filter("name <> ''")
-    named = named.groupBy("name").agg(F.min("project").alias("package_name"))
-    real = classes.select(F.col("name").alias("impl")).distinct()
-    base = F.regexp_replace("name", "^I(?=[A-Z])", "")
-    tried = named.select("name", F.explode(F.array_distinct(F.array(F.concat(base, F.lit("Impl")), F.concat(F.lit("Default"), base)))).alias("impl"))
-    counts = tried.join(real.filter(~mock_like(F.col("impl"))), "impl").groupBy("name").agg(F.count("*").alias("n_impl"))
-    return named.join(counts, "name", "left").select("name", "package_name", F.lit("main").alias("source_set"), F.coalesce("n_impl", F.lit(0)).cast("long").alias("n_impl"))
+def interfaces_of_summaries(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """The interfaces of a workspace: (name, package_name, source_set, n_impl, has_mock), each name once.
+
+    found(message, project, project_ord, ord) names interfaces by its messages; those come first, with their project as
+    package, in source set "main". classes(name, package_name, source_set, project_ord, item) add the names that read
+    like interfaces, and are what implementations and mocks are looked for in. Constants in capitals and dotted names are
+    none. Of several candidates the first by project and place counts. A workspace without candidates gives no row.
+    """
+    place = F.struct(F.lit(0).alias("kind"), F.col("project_ord").cast("long").alias("p"), F.col("ord").cast("long").alias("o"))
+    named = found.select(F.regexp_extract("message", r"Interface `(\w+)` has", 1).alias("name"), F.col("project").alias("package_name"), F.lit("main").alias("source_set"), place.alias("place"))
+    named = named.filter((F.col("name") != "") & ~enum_like(F.col("name")))
+    place = F.struct(F.lit(1).alias("kind"), F.col("project_ord").cast("long").alias("p"), F.col("item").cast("long").alias("o"))
+    alike = classes.filter(interface_like(F.col("name"))).select("name", "package_name", "source_set", place.alias("place"))
+    once = named.unionByName(alike).groupBy("name").agg(F.min_by(F.struct("package_name", "source_set"), "place").alias("x")).select("name", "x.*")
+    return once.join(named_counts(once.select("name"), classes.select("name").distinct()), "name")
 
 
 def numbered(df: DataFrame, keys: list[str], *order) -> DataFrame:

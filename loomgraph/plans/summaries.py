@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.windows import numbered_in_order
 from loomgraph.operators import index, reports, summary
 from loomgraph.plans.adapters import REFS, SYMBOLS, code_graph, plain, table
 from loomgraph.plans.catalog import _edges, register
@@ -189,16 +190,36 @@ def _receiver_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.receiver_types(classes, r.filter("kind = 'IMPORT'"), s)
 
 
-_query(
-    "interfaces_from_findings",
-    f"""WITH {_E}, n AS (SELECT DISTINCT name FROM entries), f AS (SELECT 'I' || name AS name, min(project) AS package_name FROM entries WHERE kind = 'CLASS' GROUP BY 1)
-    SELECT name, package_name, 'main' AS source_set, CAST(1 AS BIGINT) AS n_impl FROM f""",
-    ENTRIES,
-    lambda e: summary.interfaces_from_findings(
-        e.filter("kind = 'CLASS'").select(F.concat(F.lit("Interface `I"), "name", F.lit("` has only one implementation")).alias("message"), "project"),
-        e.select(F.concat("name", F.lit("Impl")).alias("name")).unionByName(e.select(F.concat(F.lit("Mock"), "name").alias("name"))),
-    ),
-)
+# Classes of many forms, and findings that name some of them, of constants and of names that are no class at all.
+_NAMED = """
+SELECT c_custkey AS item, n_nationkey AS project_ord, ':' || n_name AS project, 'com.' || lower(c_mktsegment) AS package_name, CASE c_custkey % 9 WHEN 4 THEN 'test' ELSE 'main' END AS source_set,
+  CASE c_custkey % 11 WHEN 0 THEN 'ILogger' WHEN 1 THEN 'FileLogger' WHEN 2 THEN 'LoggerImpl' WHEN 3 THEN 'DefaultILogger' WHEN 4 THEN 'MockILogger' WHEN 5 THEN 'OrderService' WHEN 6 THEN 'FakeOrderService'
+    WHEN 7 THEN 'MAX_SERVICE' WHEN 8 THEN 'DefaultLogger' WHEN 9 THEN 'IItem' ELSE 'TestOrderService' END || CASE WHEN c_custkey % 13 < 9 THEN CAST(c_custkey % 13 AS STRING) ELSE '' END AS name,
+  'Interface `' || CASE c_custkey % 5 WHEN 0 THEN 'ILogger' WHEN 1 THEN 'MAX_X' WHEN 2 THEN 'Plain' WHEN 3 THEN 'OrderService' ELSE 'Gone' END || CASE WHEN c_custkey % 7 < 4 THEN CAST(c_custkey % 7 AS STRING) ELSE '' END || '` has only one implementation: `X`' AS message
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""
+_INTERFACES = f"""WITH e AS ({plain(_NAMED)}), k AS (SELECT DISTINCT name FROM e WHERE item % 3 <> 1),
+    cand AS (SELECT regexp_extract(message, 'Interface `(\\w+)` has', 1) AS name, project AS package_name, 'main' AS source_set, 0 AS kind, project_ord AS p, item AS o FROM e WHERE item % 2 = 0
+      UNION ALL SELECT name, package_name, source_set, 1, project_ord, item FROM e WHERE item % 3 <> 1 AND (regexp_matches(name, '(Service|Repository|Provider|Factory)$') OR regexp_matches(name, '^I[A-Z].'))),
+    first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY kind, p, o) AS rn FROM cand WHERE NOT regexp_matches(name, '^[A-Z0-9_]+$')) WHERE rn = 1),
+    based AS (SELECT *, regexp_replace(name, '^I', '') AS base FROM first),
+    interfaces AS (SELECT name, package_name, source_set,
+      (SELECT count(*) FROM k WHERE k.name <> based.name AND NOT regexp_matches(lower(k.name), '^(mock|fake|stub)|(mock|fake|stub)$') AND (k.name IN (base || 'Impl', 'Default' || based.name, 'Default' || base) OR (ends_with(k.name, base) AND k.name <> base))) AS n_impl,
+      EXISTS (SELECT 1 FROM k WHERE k.name IN ('Mock' || based.name, based.name || 'Mock', 'Fake' || based.name, based.name || 'Fake')) AS has_mock FROM based) """
+
+
+def _interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, _NAMED)
+    return summary.interfaces_of_summaries(e.filter("item % 2 = 0").withColumn("ord", F.col("item")), e.filter("item % 3 <> 1"))
+
+
+register("interfaces_from_findings", "", _INTERFACES + "SELECT * FROM interfaces")(_interfaces)
+register(
+    "interfaces_lines",
+    "",
+    _INTERFACES
+    + """SELECT row_number() OVER (ORDER BY part, n_impl DESC, name) AS place, part, line FROM (SELECT CASE WHEN source_set = 'test' THEN 2 ELSE 1 END AS part, n_impl, name,
+        '| `' || name || '` | ' || package_name || ' | ' || n_impl || ' | ' || CASE WHEN has_mock THEN 'yes' ELSE 'no' END || ' |' AS line FROM interfaces)""",
+)(lambda spark, sf_dir: numbered_in_order(reports.interfaces_report(_interfaces(spark, sf_dir)), "place", "part", "a", "b", "line").select("place", "part", "line"))
 
 
 _BUILD_EDGES = "SELECT DISTINCT 'b' || CAST(l_suppkey % 40 AS STRING) AS from_build, 'b' || CAST(l_partkey % 50 AS STRING) AS to_build FROM {lineitem} WHERE l_suppkey % 40 <> l_partkey % 50 AND l_partkey % 50 < 40"
@@ -215,11 +236,3 @@ def _cross_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     hubs = table(spark, sf_dir, HUBS).withColumns({"line": F.lit(1), "role": F.lit("OTHER")})
     cycles = summary.distinct_cycles(table(spark, sf_dir, _LOOPS).select(F.array("a", "b", "a").alias("nodes")))
     return reports.cross_build_report(table(spark, sf_dir, _BUILD_EDGES), hubs, cycles).select("line")
-
-
-_query(
-    "interfaces_lines",
-    f"WITH {_E} SELECT DISTINCT '| `I' || name || '` | ' || package_name || ' | 1 | ' || CASE WHEN source_set = 'test' THEN 'yes' ELSE 'no' END || ' |' AS line, CASE WHEN source_set = 'test' THEN 2 ELSE 1 END AS part FROM entries",
-    ENTRIES,
-    lambda e: reports.interfaces_report(e.select(F.concat(F.lit("I"), "name").alias("name"), "package_name", F.lit(1).cast("long").alias("n_impl"), (F.col("source_set") == "test").alias("has_mock"), "source_set").distinct()).select("line", "part"),
-)

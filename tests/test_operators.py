@@ -218,3 +218,12 @@ def test_call_with_receiver_goes_to_its_type(spark):
     for receiver, target in (("p.Api", "p.Api.fetch"), (None, "q.Other.fetch"), ("x.Unknown", "q.Other.fetch")):
         refs = spark.createDataFrame([(1, "fetch", None, "CALL", "Client", 4, receiver)], schema)
         assert [(r.caller, r.target) for r in index.call_graph(s, refs).collect()] == [("q.Client.load", target)]
+
+
+def test_interfaces_of_summaries(spark):
+    found = spark.createDataFrame([("Interface `ILogger` has only one implementation: `X`", ":b", 2, 1), ("Interface `ILogger` has only one implementation: `X`", ":a", 9, 1), ("Interface `MAX_X` has one", ":a", 1, 1), ("other", ":a", 1, 2)], "message string, project string, project_ord int, ord long")
+    names = ["ILogger", "FileLogger", "MockILogger", "Logger", "LoggerImpl", "DefaultILogger", "OrderService", "SERVICE", "TestOrderService", "IT"]
+    classes = spark.createDataFrame([(n, "p", "test", 1, i) for i, n in enumerate(names)], "name string, package_name string, source_set string, project_ord int, item long")
+    got = sorted(tuple(r) for r in summary.interfaces_of_summaries(found, classes).select("name", "package_name", "source_set", "n_impl", "has_mock").collect())
+    assert got == [("ILogger", ":b", "main", 3, True), ("OrderService", "p", "test", 1, False), ("TestOrderService", "p", "test", 0, False)]
+    assert summary.interfaces_of_summaries(found.filter("false"), classes.filter("name = 'Logger'")).count() == 0
