@@ -4,6 +4,7 @@ from sqlcheck import spark_rows, sql_rows
 import loomgraph.plans.project_reports  # noqa: F401 - registers its queries
 import loomgraph.plans.source_calls  # noqa: F401 - registers its queries
 import loomgraph.plans.summaries  # noqa: F401 - registers its queries
+import loomgraph.plans.workspace_queries  # noqa: F401 - registers its queries
 from loomgraph.plans.catalog import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
