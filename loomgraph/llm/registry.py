@@ -24,4 +24,5 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op6_license_scan": license_scan.ORACLE,
     "op11_decontamination": decontamination.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }

@@ -180,3 +180,23 @@ def vector_codes(
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _oracle() -> str:
+    """The contract for vectors with distinct ids and components whose sums stay within a long."""
+    near = """a{r} AS (SELECT vec_id, p, x, CAST(m % {n} AS BIGINT) AS e, CAST(m // {n} AS BIGINT) AS far FROM (
+      SELECT vec_id, p, x, min(CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * {n} + e) AS m FROM d JOIN c{r} USING (p) GROUP BY ALL))"""
+    move = """u{r} AS (SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, (SELECT unnest(generate_series(1, max(len(x)))) AS i FROM d) GROUP BY ALL),
+    c{next} AS (SELECT p, e, coalesce(l.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM u{r} GROUP BY 1, 2) l USING (p, e))"""
+    rounds = ", ".join(f"{near.format(r=r, n=ENTRIES)}, {move.format(r=r, next=r + 1)}" for r in range(ROUNDS))
+    return f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {SCALE}) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    d AS (SELECT vec_id, p, v[p * (len(v) // {PARTS}) + 1 : (p + 1) * (len(v) // {PARTS})] AS x FROM k, range({PARTS}) t(p)),
+    c0 AS (SELECT p, e, x AS c FROM d JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {ENTRIES}) USING (vec_id)),
+    {rounds}, {near.format(r=ROUNDS, n=ENTRIES)},
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM c{ROUNDS}),
+    f AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY 1)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM f JOIN k USING (vec_id), h"""
+
+
+ORACLE = _oracle()

@@ -4,7 +4,7 @@ import random
 from fractions import Fraction
 
 import pytest
-from oracle import rows
+from oracle import rows, sql_rows
 
 from loomgraph.llm import vector_codes as vc
 
@@ -54,6 +54,10 @@ def test_query_same_as_brute_force(spark):
     assert sorted((tuple(r[k] for k in order) for r in found), key=repr) == brute([(r.vec_id, r.embedding, r.label) for r in read])
 
 
+def test_same_as_sql(spark):
+    assert rows(vc.op12_vector_codes(spark, SMALL)) == sql_rows(SMALL, vc.ORACLE)
+
+
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_edges(spark, most):
     rng = random.Random(4)
