@@ -252,3 +252,47 @@ def _quoted(chars: str) -> str:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _oracle() -> str:
+    """The contract as two recursions over rows: best edits by state, each a text of nine digits of cost and the edits; then their replay."""
+
+    def add(value: str, cost: str, edit: str) -> str:
+        return f"(printf('%09d', CAST({value}[1:9] AS INT) + {cost}) || {value}[10:] || '{edit}')"
+
+    def turn(state: int, initial: str) -> str:
+        """The best of keeping a row of this initial, or giving it the role, after a state."""
+        v, role = f"v{state}", f"WHEN initial = '{initial}' THEN {add(f'v{state}', 'cut', 'K')}"
+        kept = f"CASE WHEN gone THEN NULL {role} END"
+        return kept if initial == "s" else f"{kept}, CASE WHEN NOT gone THEN {add(v, f'{REROLE} + cut', 'R')} END"
+
+    gone = [add(f"v{i}", str(DELETE), "D") for i in range(4)]
+    best = f"{gone[0]} AS b0, least({gone[1]}, {turn(0, 's')}) AS b1, least({gone[2]}, {', '.join(turn(i, 'u') for i in (0, 1, 3))}) AS b2, least({gone[3]}, {turn(2, 'a')}) AS b3"
+    put = lambda value: add(value, str(INSERT), "I")
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+    crc = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    line = "CASE edit WHEN 'K' THEN role || ':' || text WHEN 'R' THEN forced || ':' || text WHEN 'I' THEN forced || ':' END"
+    return f"""WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+    kinds AS (SELECT *, xor({crc}, 4294967295) % 20 AS kind FROM keyed),
+    live AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM kinds WHERE kind <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, right(rtrim(text, {blanks}), 1) AS tail FROM live),
+    marked AS (SELECT *, CASE WHEN tail = '' THEN {BLANK} WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN {DUPLICATE} WHEN tail NOT IN ('.', '!', '?') THEN {TRUNCATED} ELSE 0 END AS fault,
+      role[1:1] AS initial, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM placed),
+    r AS (SELECT *, fault IN ({BLANK}, {DUPLICATE}) AS gone, CAST(fault = {TRUNCATED} AS INT) AS cut FROM marked),
+    facts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = {BLANK}) AS blank, count(*) FILTER (WHERE fault = {DUPLICATE}) AS duplicate, count(*) FILTER (WHERE fault = {TRUNCATED}) AS truncated,
+      count(*) FILTER (WHERE earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+    dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS v0, CAST(NULL AS VARCHAR) AS v1, '000000002I' AS v2, '000000004II' AS v3 FROM r
+      UNION ALL SELECT conv_id, i, b0, b1, w2, least(b3, {put("w2")}) FROM (SELECT *, least(b2, {put("b0")}, {put("b1")}, {put("b3")}) AS w2 FROM (
+        SELECT r.conv_id, r.i, {best} FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1))),
+    done AS (SELECT dp.conv_id, CAST(least(v0, v3)[1:9] AS BIGINT) AS cost, least(v0, v3)[10:] AS audit FROM dp JOIN facts f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.n = dp.i),
+    play AS (SELECT conv_id, audit, 0 AS p, CAST(0 AS BIGINT) AS i, '' AS last, CAST(NULL AS VARCHAR) AS lines FROM done
+      UNION ALL SELECT conv_id, audit, p + 1, i, CASE edit WHEN 'D' THEN last WHEN 'K' THEN initial ELSE forced[1:1] END, CASE WHEN edit = 'D' THEN lines ELSE coalesce(lines || chr(10), '') || {line} END
+      FROM (SELECT x.conv_id, audit, p, edit, forced, last, lines, x.i, role, text, initial FROM (SELECT *, audit[p + 1 : p + 1] AS edit, CASE last WHEN 'u' THEN 'assistant' ELSE 'user' END AS forced FROM (SELECT conv_id, audit, p, last, lines, CASE WHEN audit[p + 1 : p + 1] = 'I' THEN i ELSE i + 1 END AS i FROM play WHERE p < len(audit))) x
+        LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.i = x.i)),
+    ends AS (SELECT conv_id, sha256(coalesce(lines, '')) AS repaired_sha256 FROM play WHERE p = len(audit))
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+      coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+ORACLE = _oracle()

@@ -25,4 +25,5 @@ ORACLES = {
     "op6_license_scan": license_scan.ORACLE,
     "op11_decontamination": decontamination.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }

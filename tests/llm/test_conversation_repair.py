@@ -4,7 +4,7 @@ import random
 import zlib
 
 import pytest
-from oracle import rows
+from oracle import rows, sql_rows
 
 from loomgraph.llm import conversation_repair as cr
 
@@ -92,6 +92,10 @@ def test_query_same_as_brute_force(spark, sf):
     assert sorted((tuple(r[k] for k in order) for r in found), key=repr) == brute([tuple(r) for r in read])
 
 
+def test_same_as_sql(spark):
+    assert rows(cr.op13_conversation_repair(spark, SMALL)) == sql_rows(SMALL, cr.ORACLE)
+
+
 def test_random_conversations(spark):
     rng = random.Random(8)
     data = []
