@@ -12,6 +12,7 @@ from loomgraph.functions.exprs import is_test_path, last_segment
 from loomgraph.functions.windows import first_per_key, numbered_in_order
 from loomgraph.operators.graph import inheritance_chains
 from loomgraph.operators.resolve import CodeGraph, implementors, resolve_names, resolved_supertypes
+from loomgraph.storage import cut_lineage
 
 SEVERITY_RANK = {"FORBIDDEN": 0, "WARNING": 1, "INFO": 2}
 
@@ -116,9 +117,11 @@ def missing_tests(g: CodeGraph, cfg: EngineConfig = EngineConfig()) -> DataFrame
 
 
 def all_findings(g: CodeGraph, cycles: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Findings of all nine rules. Each rule's are written as it is computed, so no plan, and no set of broadcast tables
+    in the driver, holds more than one rule's joins."""
     rules = [smell_classes, forbidden_packages, forbidden_class_names, single_implementations, god_classes, deep_inheritance]
     parts = [r(g, cfg) for r in rules] + [circular_dependencies(cycles, cfg), dependency_inversion(g, cfg), missing_tests(g, cfg)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [cut_lineage(p) for p in parts])
 
 
 def in_report_order(found: DataFrame) -> DataFrame:
