@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,7 @@ IMPLIED_END = {
     "body": ({"head"}, set()),
 }
 BARRIERS = frozenset("table td th caption button object template".split())
+PAST_BARRIERS = frozenset("table tr tbody thead tfoot body html".split())
 
 OUT_TAGS = frozenset("head nav footer aside form button select textarea option script style noscript template iframe svg math canvas object dialog menu title legend".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
@@ -58,7 +60,8 @@ GOOD_NAMES = frozenset("article body content entry main page post story text blo
 NEUTRAL_BEFORE = frozenset("no has with without hide show".split())
 NEVER_OUT = frozenset("html body main article".split())
 
-TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+TAG_MARK = re.compile("[>\"']")
+LONG_NUMBER = re.compile(r"&#0*([0-9]+);?")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
@@ -77,8 +80,37 @@ LONG_SIBLING = 80
 LINK_LIST_SHARE = 0.66
 
 
+def tag_end(s: str, at: int, dead: set[int]) -> int:
+    """Place behind the `>` that ends a tag, quoted values skipped; 0 if a quote stays open.
+
+    `dead` keeps the opening quotes that led to no end, so that a page reads each of its quotes once or twice.
+    """
+    passed = []
+    while (m := TAG_MARK.search(s, at)) is not None:
+        if m[0] == ">":
+            return m.end()
+        passed.append(m.start())
+        close = -1 if m.start() in dead else s.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(passed)
+    return 0
+
+
+def decoded(text: str) -> str:
+    """Text with its character references read; a number of more digits than a code point has stands for no character."""
+    if "&#" in text:
+        text = LONG_NUMBER.sub(lambda m: "\ufffd" if len(m[1]) > 7 else m[0] if len(m[0]) < 99 else f"&#{m[1]};", text)
+    return html.unescape(text)
+
+
 class Page:
-    """The block tree of one page: nodes in document order, and blocks of inline text, each owned by a node."""
+    """The block tree of one page: nodes in document order, and blocks of inline text, each owned by a node.
+
+    The open elements are a stack; the depths of each tag, of blocks and of barriers are kept beside it, so a tag finds
+    what it closes without a scan and the work is linear in the page.
+    """
 
     def __init__(self, source: str):
         self.tag, self.parent = ["#root"], [-1]
@@ -115,10 +147,12 @@ class Page:
         return len(self.tag) - 1
 
     def _read(self, s: str) -> None:
-        stack, links = [0], 0
+        stack, owners, links = [0], [0], 0
         held: list[str] = []
-        open_tags: Counter[str] = Counter()
+        depths: defaultdict[str, list[int]] = defaultdict(list)
+        blocks_at, barriers_at = [0], [0]
         linked = 0
+        dead: set[int] = set()
         at, n = 0, len(s)
 
         def flush() -> None:
@@ -126,27 +160,28 @@ class Page:
             if held:
                 text = " ".join("".join(held).split())
                 if text:
-                    owner = next(i for i in reversed(stack) if self.tag[i] not in TRACKED_INLINE)
-                    self.blocks.append((owner, text, min(linked, len(text))))
+                    self.blocks.append((owners[-1], text, min(linked, len(text))))
                 held, linked = [], 0
 
         def keep(text: str) -> None:
             nonlocal linked
             if "&" in text:
-                text = html.unescape(text)
+                text = decoded(text)
             held.append(text)
             if links:
                 linked += len(text.strip())
 
         def pop_to(depth: int) -> None:
             nonlocal links
-            gone = [self.tag[i] for i in stack[depth:]]
-            if any(t in BLOCK for t in gone):
+            if blocks_at[-1] >= depth:
                 flush()
-            links -= gone.count("a")
-            for t in gone:
-                open_tags[t] -= 1
-            del stack[depth:]
+            for i in stack[depth:]:
+                depths[self.tag[i]].pop()
+                links -= self.tag[i] == "a"
+            for at_ in (blocks_at, barriers_at):
+                while at_[-1] >= depth:
+                    at_.pop()
+            del stack[depth:], owners[depth:]
 
         while at < n:
             i = s.find("<", at)
@@ -175,20 +210,17 @@ class Page:
                     at = i + 1
                 continue
             tag = m[0].lower()
-            end = TAG_END.match(s, m.end())
-            stop = end.end() if end else s.find(">", m.end()) + 1
+            stop = tag_end(s, m.end(), dead) or s.find(">", m.end()) + 1
             if not stop:
                 break
             attributes = s[m.end() : stop - 1]
             at = stop
             if closing:
-                for depth in range(len(stack) - 1, 0, -1) if open_tags.get(tag) else ():
-                    t = self.tag[stack[depth]]
-                    if t == tag:
-                        pop_to(depth)
-                        break
-                    if tag in TRACKED_INLINE and t in BLOCK or t in BARRIERS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                        break
+                depth = depths[tag][-1] if tag in depths and depths[tag] else 0
+                behind_block = tag in TRACKED_INLINE and blocks_at[-1] > depth
+                behind_barrier = tag not in PAST_BARRIERS and barriers_at[-1] > depth
+                if depth and not behind_block and not behind_barrier:
+                    pop_to(depth)
                 continue
             if tag == "br" or tag == "wbr":
                 held.append(" " if tag == "br" else "")
@@ -203,36 +235,34 @@ class Page:
                 continue
             if tag in VOID or tag not in BLOCK and tag not in TRACKED_INLINE:
                 continue
-            if tag in ("html", "body") and open_tags[tag]:
+            if tag in ("html", "body") and depths[tag]:
                 continue
-            if tag in CLOSES_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[depth]]
-                    if t == "p" or t in HEADINGS and tag in HEADINGS:
-                        pop_to(depth)
-                        break
-                    if t in BLOCK:
-                        break
+            if tag in CLOSES_P and blocks_at[-1]:
+                t = self.tag[stack[blocks_at[-1]]]
+                if t == "p" or t in HEADINGS and tag in HEADINGS:
+                    pop_to(blocks_at[-1])
             if tag in IMPLIED_END:
                 ends, scope = IMPLIED_END[tag]
-                lowest = 0
-                for depth in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[depth]]
-                    if t in scope:
-                        break
-                    if t in ends:
-                        lowest = depth
-                    elif tag == "a" and t in BLOCK:
-                        break
+                floor = max((depths[t][-1] for t in scope if depths[t]), default=0)
+                if tag == "a":
+                    floor = max(floor, blocks_at[-1])
+                inside = (d[bisect_right(d, floor)] for t in ends if (d := depths[t]) and d[-1] > floor)
+                lowest = min(inside, default=0)
                 if lowest:
                     pop_to(lowest)
             if tag in BLOCK:
                 flush()
             if attributes.endswith("/") and tag in ("svg", "math"):
                 continue
+            depth = len(stack)
             stack.append(self._open(tag, attributes, stack[-1]))
+            owners.append(owners[-1] if tag in TRACKED_INLINE else stack[-1])
             links += tag == "a"
-            open_tags[tag] += 1
+            depths[tag].append(depth)
+            if tag in BLOCK:
+                blocks_at.append(depth)
+            if tag in BARRIERS:
+                barriers_at.append(depth)
         flush()
 
     def _removed(self, by_name: bool) -> list[bool]:
@@ -248,12 +278,10 @@ class Page:
             heading[i] = in_head
             drop = self.out_tag[i] or by_name and self.out_name[i] or self.head[i] and not inside[i]
             out[i] = out[p] or drop
+        titled = [False] * len(self.tag)
         for i in range(1, len(self.tag)):
-            if not out[i] and heading[i] and inside[i]:
-                j = i
-                while j > 0 and self.tag[j] not in HEADINGS and not self.head[j]:
-                    j = self.parent[j]
-                out[i] = self.tag[j] not in HEADINGS
+            titled[i] = self.tag[i] in HEADINGS or not self.head[i] and titled[self.parent[i]]
+            out[i] = out[i] or heading[i] and inside[i] and not titled[i]
         return out
 
     def main_text(self) -> str:

@@ -2,6 +2,8 @@ import html
 import re
 import time
 
+import pytest
+
 from loomgraph.llm.html_text import extract_pages, main_text, op2_html_text
 
 SMALL = "/root/testdata/sf0.01"
@@ -91,13 +93,35 @@ def test_scores_decide_between_bare_containers():
     assert main_text(bare(long[:2], [], links)) == "\n\n".join(long[:2])
 
 
-def test_work_grows_with_the_page_not_with_its_square():
+SHAPES = [
+    lambda k: "<div>" + "<p>short one.</p>" * k + "</div>",
+    lambda k: "<div>some words, here, that are long enough to count. " * k,
+    lambda k: "<div>" * k + "</i></span></p>" * k,
+    lambda k: "<div>" * k + "<tr>" * k,
+    lambda k: "<a>" + "<span>" * k + "<p>x</p>" * k,
+    lambda k: "<span>" * k + "<p>a paragraph</p>" * k,
+    lambda k: "<ul>" + "<div>" * k + "<li>x" * k,
+    lambda k: '<p ">" ' * k + "'",
+    lambda k: "<article><header>" + "<div>" * k + "x</header>" + "<h2>" * k,
+    lambda k: "<span>" * k + "x<hr>" * k,
+]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_work_grows_with_the_page_not_with_its_square(shape):
     def took(k):
-        pages = ("<div>" + "<p>short one.</p>" * k + "</div>", "<div>some words, here, that are long enough to count. " * k, "<div>" * k + "</i></span></p>" * k)
+        page = shape(k)
         began = time.process_time()
-        for p in pages:
-            main_text(p)
+        main_text(page)
         return time.process_time() - began
 
     took(500)
-    assert took(16_000) < 40 * max(took(2_000), 0.01)
+    assert took(16_000) < 20 * max(took(2_000), 0.02)
+
+
+def test_long_character_numbers():
+    assert main_text("<p>&#" + "9" * 5000 + "; a &#" + "0" * 5000 + "65; &#65;") == "\ufffd a A A"
+
+
+def test_quotes_that_stay_open():
+    assert main_text("<p t='a>b'>one<p t=\"c>two<p>three") == "one\n\ntwo\n\nthree"
