@@ -5,9 +5,11 @@ and consecutive windows with one minimiser travel as one packed string (a super-
 so every copy of a window reaches the same bucket. There windows are sorted by hash, equal ones are verified by the
 64-bit hashes of all their words, and each learns the smallest doc_id that holds it.
 
-Skew: a super-k-mer that a task has already sent for a smaller doc_id is decided on the spot and not sent again, so
-copies, and rows that repeat a doc_id and a text, collapse before the shuffle; and word runs that a sample shows to be very frequent (a bounded list, used only
-to balance buckets) come last in the minimiser order, so the windows around a common passage spread by their context.
+Skew: a task sends the text of a super-k-mer once, whatever the order of its documents. A document with a larger doc_id
+than another holder's in the task is decided on the spot; a smaller one sends its own row without the text, and the bucket
+joins rows and texts by digest, so copies collapse before the shuffle and again in the bucket. Word runs that a sample
+shows to be very frequent (a bounded list, used only to balance buckets) come last in the minimiser order, so the windows
+around a common passage spread by their context.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ FLUSH_BYTES = 24 << 20
 BUCKET_BYTES = 4 << 20
 EXPANSION = 6
 SEEN_MOST = 250_000
+DIGEST = 16
+ROW_BYTES = 200
 OUT_ROWS = 500
 LAST = np.iinfo(np.int64).max
 
@@ -101,7 +105,7 @@ class _Sender:
         self.reset()
 
     def reset(self) -> None:
-        self.held: dict[int, list] = {}
+        self.held: dict[int, dict[bytes, tuple[bytes | None, list]]] = {}
         self.decided: list[tuple] = []
         self.bytes = 0
 
@@ -132,24 +136,38 @@ class _Sender:
         seen, raw = self.seen, pack.raw
         for a, b, to, d, k, p, n in rows:
             s = raw[a:b]
-            digest = hashlib.blake2b(s, digest_size=16).digest()
+            digest = hashlib.blake2b(s, digest_size=DIGEST).digest()
             before = seen.get(digest)
             if before is not None and before < d:
                 self.decided.append((d, k, p, n))
+                self.bytes += ROW_BYTES
                 continue
             seen[digest] = d
-            self.held.setdefault(to, []).append((s, d, k, p, n))
-            self.bytes += b - a
+            groups = self.held.setdefault(to, {})
+            held = groups.get(digest)
+            if held is None:
+                groups[digest] = (s if before is None else None, [(d, k, p, n)])
+                self.bytes += ROW_BYTES + (b - a if before is None else 0)
+            elif before is not None and d < before:
+                # those of a larger doc_id need not be sent: their windows start in d as well
+                self.decided += [r for r in held[1] if r[0] > d]
+                held[1][:] = [r for r in held[1] if r[0] <= d] + [(d, k, p, n)]
+                self.bytes += ROW_BYTES
+            else:
+                held[1].append((d, k, p, n))
+                self.bytes += ROW_BYTES
         if len(seen) > SEEN_MOST:
             seen.clear()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         buckets, kinds, blobs = [], [], []
-        for to, items in self.held.items():
-            text = b" ".join(i[0] for i in items)
-            table = np.array([i[1:] for i in items], "<i8")
-            sizes = np.array([len(i[0]) for i in items], "<i8")
-            blobs.append(self.press.compress(struct.pack("<Q", len(items)) + sizes.tobytes() + table.tobytes() + text))
+        for to, groups in self.held.items():
+            texts = [t for t, _ in groups.values() if t is not None]
+            sizes = np.array([-1 if t is None else len(t) for t, _ in groups.values()], "<i8")
+            shares = np.array([len(r) for _, r in groups.values()], "<i8")
+            table = np.array([r for _, rows in groups.values() for r in rows], "<i8")
+            head = struct.pack("<QQ", len(groups), len(table))
+            blobs.append(self.press.compress(head + sizes.tobytes() + shares.tobytes() + table.tobytes() + b"".join(groups) + b" ".join(texts)))
             buckets.append(to)
             kinds.append(0)
         if self.decided:
@@ -161,20 +179,30 @@ class _Sender:
         self.reset()
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, bounds and (doc_id, row_key, first word, windows) of all super-k-mers of a bucket."""
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different texts of a bucket and their bounds; its rows (doc_id, row_key, first word, windows) and the text of each."""
     open_ = zstandard.ZstdDecompressor()
-    sizes, tables, texts = [], [], []
+    place: dict[bytes, int] = {}
+    texts: dict[int, bytes] = {}
+    tables, whose = [], []
     for b in blobs:
         raw = open_.decompress(b)
-        (n,) = struct.unpack_from("<Q", raw)
-        sizes.append(np.frombuffer(raw, "<i8", n, 8))
-        tables.append(np.frombuffer(raw, "<i8", 4 * n, 8 + 8 * n).reshape(n, 4))
-        texts.append(raw[8 + 40 * n :])
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    bounds = np.concatenate(([0], np.cumsum(np.concatenate(sizes) + 1)))
+        n, rows = struct.unpack_from("<QQ", raw)
+        sizes = np.frombuffer(raw, "<i8", n, 16)
+        shares = np.frombuffer(raw, "<i8", n, 16 + 8 * n)
+        tables.append(np.frombuffer(raw, "<i8", 4 * rows, 16 + 16 * n).reshape(rows, 4))
+        at = 16 + 16 * n + 32 * rows
+        mine = np.array([place.setdefault(raw[at + DIGEST * i : at + DIGEST * (i + 1)], len(place)) for i in range(n)], np.int64)
+        whose.append(np.repeat(mine, shares))
+        at += DIGEST * n
+        for i, size in zip(mine.tolist(), sizes.tolist(), strict=True):
+            if size >= 0:
+                texts.setdefault(i, raw[at : at + size])
+                at += size + 1
+    ordered = [texts[i] for i in range(len(place))]
+    bounds = np.concatenate(([0], np.cumsum(np.array([len(t) for t in ordered], np.int64) + 1)))
     bounds[-1] -= 1
-    return data, bounds, np.concatenate(tables)
+    return np.frombuffer(b" ".join(ordered), np.uint8), bounds, np.concatenate(tables), np.concatenate(whose)
 
 
 def first_holders(h: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -213,24 +241,39 @@ def first_holders(h: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _judge(blobs: list[bytes]) -> np.ndarray:
-    """Ranges of removed windows of one bucket: rows of (doc_id, row_key, first word, windows)."""
-    data, bounds, table = _unpack(blobs)
+    """Ranges of removed windows of one bucket: rows of (doc_id, row_key, first word, windows).
+
+    A text is judged once, for the smallest doc_id that holds it; in its other holders all its windows go.
+    """
+    data, bounds, table, whose = _unpack(blobs)
     w = Words(data, bounds)
-    n = table[:, 3]
+    doc = table[:, 0]
+    least = np.full(len(bounds) - 1, LAST, np.int64)
+    np.minimum.at(least, whose, doc)
+    n = np.zeros(len(least), np.int64)
+    n[whose] = table[:, 3]
     at = np.repeat(w.first[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     item = np.repeat(np.arange(len(n)), n)
-    doc = table[item, 0]
-    gone = np.flatnonzero(first_holders(w.hashes(), at, doc) < doc)
-    if not len(gone):
-        return np.zeros((0, 4), np.int64)
-    opens = np.ones(len(gone), bool)
-    opens[1:] = (gone[1:] != gone[:-1] + 1) | (item[gone[1:]] != item[gone[:-1]])
-    heads = np.flatnonzero(opens)
-    lead = gone[heads]
-    out = table[item[lead]].copy()
-    out[:, 2] += at[lead] - w.first[item[lead]]
-    out[:, 3] = np.diff(np.append(heads, len(gone)))
-    return out
+    later = doc > least[whose]
+    out = [table[later]]
+    gone = np.flatnonzero(first_holders(w.hashes(), at, least[item]) < least[item])
+    if len(gone):
+        opens = np.ones(len(gone), bool)
+        opens[1:] = (gone[1:] != gone[:-1] + 1) | (item[gone[1:]] != item[gone[:-1]])
+        heads = np.flatnonzero(opens)
+        lead, sizes = gone[heads], np.diff(np.append(heads, len(gone)))
+        start, text = at[lead] - w.first[item[lead]], item[lead]
+        # runs of a text, for each row that holds it with the smallest doc_id
+        rows = np.flatnonzero(~later)
+        low = np.searchsorted(text, whose[rows])
+        many = np.searchsorted(text, whose[rows], side="right") - low
+        row = np.repeat(rows, many)
+        run = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        found = table[row].copy()
+        found[:, 2] += start[run]
+        found[:, 3] = sizes[run]
+        out.append(found)
+    return np.concatenate(out)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

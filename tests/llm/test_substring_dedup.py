@@ -102,3 +102,38 @@ def test_many_rows_of_one_text(spark):
     rows = spark.range(6_000).selectExpr("7 AS doc_id", f"'{text}' AS text").unionByName(spark.createDataFrame([(3, f"x {text} y")], "doc_id long, text string"))
     got = {(r.doc_id, r.n_removed): r["count"] for r in sd.remove_repeats(rows, with_text=False).groupBy("doc_id", "n_removed").count().collect()}
     assert got == {(3, 0): 1, (7, 300): 6_000}
+
+
+@pytest.mark.parametrize("flush_bytes", [1 << 30, 20_000])
+def test_texts_travel_once_whatever_the_order(flush_bytes):
+    rng = random.Random(8)
+    passage = [f"p{rng.randrange(10_000)}" for _ in range(200)]
+    rows = [(d, " ".join([f"a{rng.randrange(10**6)}" for _ in range(60)] + passage + [f"b{d}"] * 3)) for d in range(300)]
+    often = np.sort(np.unique(sd.rolling(next(iter(word_runs(pa.array([" ".join(passage)], pa.string()))))[2].hashes(), sd.MINIMISER)))
+
+    def sent(order):
+        out, blobs = sd._Sender(8, often), {}
+        found, size = [], 0
+        for d, t in order:
+            for _, _, w in word_runs(pa.array([t], pa.string())):
+                out.add(w, np.array([d]), np.array([d]))
+            if out.bytes > flush_bytes or (d, t) == order[-1]:
+                for b in out.flush():
+                    for to, kind, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                        if kind:
+                            found.append(np.frombuffer(blob, "<i8").reshape(-1, 4))
+                        else:
+                            blobs.setdefault(to, []).append(blob)
+        for mine in blobs.values():
+            size += len(sd._unpack(mine)[0])
+            found.append(sd._judge(mine))
+        cover = {d: set() for d, _ in rows}
+        for d, _, first, n in np.concatenate(found).tolist():
+            cover[d].update(range(first, first + n + K - 1))
+        return {d: len(c) for d, c in cover.items()}, size
+
+    up, up_size = sent(rows)
+    down, down_size = sent(rows[::-1])
+    mixed, mixed_size = sent(rng.sample(rows, len(rows)))
+    assert up == down == mixed == {r[0]: r[2] for r in brute(rows)}
+    assert max(down_size, mixed_size) <= 1.01 * up_size
