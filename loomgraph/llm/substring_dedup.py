@@ -166,8 +166,10 @@ class _Sender:
             sizes = np.array([-1 if t is None else len(t) for t, _ in groups.values()], "<i8")
             shares = np.array([len(r) for _, r in groups.values()], "<i8")
             table = np.array([r for _, rows in groups.values() for r in rows], "<i8")
+            # the bucket digests the texts it gets itself; a digest stands only for a text sent before
+            absent = [g for g, (t, _) in groups.items() if t is None]
             head = struct.pack("<QQ", len(groups), len(table))
-            blobs.append(self.press.compress(head + sizes.tobytes() + shares.tobytes() + table.tobytes() + b"".join(groups) + b" ".join(texts)))
+            blobs.append(self.press.compress(head + sizes.tobytes() + shares.tobytes() + table.tobytes() + b"".join(absent) + b" ".join(texts)))
             buckets.append(to)
             kinds.append(0)
         if self.decided:
@@ -191,14 +193,20 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         sizes = np.frombuffer(raw, "<i8", n, 16)
         shares = np.frombuffer(raw, "<i8", n, 16 + 8 * n)
         tables.append(np.frombuffer(raw, "<i8", 4 * rows, 16 + 16 * n).reshape(rows, 4))
-        at = 16 + 16 * n + 32 * rows
-        mine = np.array([place.setdefault(raw[at + DIGEST * i : at + DIGEST * (i + 1)], len(place)) for i in range(n)], np.int64)
-        whose.append(np.repeat(mine, shares))
-        at += DIGEST * n
-        for i, size in zip(mine.tolist(), sizes.tolist(), strict=True):
+        mark = 16 + 16 * n + 32 * rows
+        at = mark + DIGEST * int((sizes < 0).sum())
+        mine = []
+        for size in sizes.tolist():
+            if size < 0:
+                digest, mark = raw[mark : mark + DIGEST], mark + DIGEST
+            else:
+                text, at = raw[at : at + size], at + size + 1
+                digest = hashlib.blake2b(text, digest_size=DIGEST).digest()
+            i = place.setdefault(digest, len(place))
             if size >= 0:
-                texts.setdefault(i, raw[at : at + size])
-                at += size + 1
+                texts.setdefault(i, text)
+            mine.append(i)
+        whose.append(np.repeat(np.array(mine, np.int64), shares))
     ordered = [texts[i] for i in range(len(place))]
     bounds = np.concatenate(([0], np.cumsum(np.array([len(t) for t in ordered], np.int64) + 1)))
     bounds[-1] -= 1
