@@ -88,9 +88,11 @@ def name_role(name: Column) -> Column:
     return reduce(lambda acc, kv: acc.when(name.endswith(kv[0]), kv[1]), ENDING_ROLES.items(), F.when(F.lit(False), "")).otherwise("OTHER")
 
 
-def layer(package: Column) -> Column:
+def layer(package: Column, is_test: Column | None = None) -> Column:
+    """Layer that a package's last segment names; what is known to be a test is TEST whatever its package."""
     last = F.lower(last_segment(package))
-    return reduce(lambda acc, kv: acc.when(last.isin(*kv[1]), kv[0]), LAYERS.items(), F.when(F.lit(False), "")).otherwise("OTHER")
+    first = F.when(F.lit(False) if is_test is None else F.coalesce(is_test, F.lit(False)), "TEST")
+    return reduce(lambda acc, kv: acc.when(last.isin(*kv[1]), kv[0]), LAYERS.items(), first).otherwise("OTHER")
 
 
 def is_test_path(path: Column) -> Column:

@@ -116,6 +116,14 @@ _over_graph(
 )
 
 
+_over_graph(
+    "layer_of_component",
+    "c0",
+    "SELECT component_id, CASE WHEN contains(path, '/test/') THEN 'TEST' " + " ".join(f"WHEN lower(split_part(package_name, '.', -1)) IN {v} THEN '{k}'" for k, v in exprs.LAYERS.items()) + " ELSE 'OTHER' END AS layer FROM c0",
+    lambda g: g.components.select("component_id", exprs.layer(F.col("package_name"), exprs.is_test_path(F.col("path"))).alias("layer")),
+)
+
+
 def package_prefix(components: DataFrame) -> DataFrame:
     """One row: the longest segment-wise prefix of all non-empty packages; least and greatest array decide it."""
     p = components.filter("package_name <> ''").select(F.split("package_name", r"\.").alias("p")).agg(F.min("p").alias("a"), F.max("p").alias("b"))
@@ -146,25 +154,64 @@ ORACLES["package_group"] = check("c0", "SELECT 1").removesuffix(" SELECT 1") + (
 _TESTLIKE = "path LIKE '%/test/%'"
 
 
-def entry_points(g: resolve.CodeGraph, edges: DataFrame) -> DataFrame:
-    """TEST over MOCK over APP; where nothing qualifies, the graph's roots are APP."""
+def plugins(g: resolve.CodeGraph, methods: DataFrame) -> DataFrame:
+    """component_id of components that declare `apply` and extend something named a plugin: methods(component_id, name)."""
+    named = g.supertypes.filter(F.col("name").contains("Plugin")).select("component_id").distinct()
+    return methods.filter("name = 'apply'").select("component_id").distinct().join(named, "component_id", "left_semi")
+
+
+def entry_points(g: resolve.CodeGraph, edges: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    """TEST over MOCK over APP (a main function, a controller or, with methods given, a plugin); the first of a qualified
+    name by component_id. Where nothing qualifies, the graph's roots are APP."""
     n = F.col("simple_name")
+    if methods is None:
+        components = g.components.withColumn("is_plugin", F.lit(False))
+    else:
+        marked = plugins(g, methods).withColumn("is_plugin", F.lit(True))
+        components = g.components.join(marked, "component_id", "left").withColumn("is_plugin", F.coalesce("is_plugin", F.lit(False)))
     kind = (
-        F.when(exprs.is_test_path(F.col("path")) | n.rlike("(Test|Spec)$"), "TEST").when(n.rlike("Mock|Fake|Stub"), "MOCK").when(F.col("has_main") | (F.col("role") == "CONTROLLER"), "APP")
+        F.when(exprs.is_test_path(F.col("path")) | n.rlike("(Test|Spec)$"), "TEST")
+        .when(n.rlike("Mock|Fake|Stub"), "MOCK")
+        .when(F.col("has_main") | (F.col("role") == "CONTROLLER") | F.col("is_plugin"), "APP")
     )
-    named = g.components.withColumn("kind", kind).filter("kind is not null").groupBy("qualified_name").agg(F.min(F.struct("component_id", "kind")).alias("x")).select("qualified_name", "x.kind")
+    named = components.withColumn("kind", kind).filter("kind is not null").groupBy("qualified_name").agg(F.min(F.struct("component_id", "kind")).alias("x")).select("qualified_name", "x.kind")
     roots = graph.graph_roots(g.components, edges).select("qualified_name", F.lit("APP").alias("kind")).distinct()
     none = named.limit(1).agg(F.count("*").alias("n")).filter("n = 0")
     return named.unionByName(roots.crossJoin(F.broadcast(none)).drop("n"))
 
 
-_over_graph(
-    "entry_points_analysis",
-    "c",
-    f"""SELECT qualified_name, arg_min(k, component_id) AS kind FROM (SELECT qualified_name, component_id, CASE WHEN {_TESTLIKE} OR regexp_matches(simple_name, '(Test|Spec)$') THEN 'TEST'
-        WHEN regexp_matches(simple_name, 'Mock|Fake|Stub') THEN 'MOCK' WHEN has_main OR role = 'CONTROLLER' THEN 'APP' END AS k FROM c) WHERE k IS NOT NULL GROUP BY 1""",
-    lambda g: entry_points(g, _edges(g)),
-)
+# Every component runs; some parts apply, and of those some extend a plugin, as do some that do not apply.
+_METHODS = "SELECT p_partkey AS component_id, 'run' AS name FROM {part} UNION ALL SELECT p_partkey, 'apply' FROM {part} WHERE p_partkey % 11 IN (3, 5)"
+_PLUGIN_TYPES = "SELECT p_partkey AS component_id, CAST(9 AS BIGINT) AS pos, CASE p_partkey % 4 WHEN 0 THEN 'org.ext.Plugin' ELSE 'BuildPluginBase' END AS name FROM {part} WHERE p_partkey % 11 IN (5, 7)"
+_KINDS = f"""k AS (SELECT qualified_name, component_id, CASE WHEN {_TESTLIKE} OR regexp_matches(simple_name, '(Test|Spec)$') THEN 'TEST' WHEN regexp_matches(simple_name, 'Mock|Fake|Stub') THEN 'MOCK'
+      WHEN has_main OR role = 'CONTROLLER' OR component_id IN (SELECT component_id FROM m WHERE name = 'apply' INTERSECT SELECT component_id FROM p) THEN 'APP' END AS k FROM kc),
+    named AS (SELECT qualified_name, arg_min(k, component_id) AS kind FROM k WHERE k IS NOT NULL GROUP BY 1)
+    SELECT * FROM named UNION ALL SELECT DISTINCT qualified_name, 'APP' FROM kc WHERE NOT EXISTS (FROM named) AND NOT is_data_class AND component_id IN (SELECT from_id FROM edges) AND component_id NOT IN (SELECT to_id FROM edges)"""
+
+
+def _kinds_oracle(components: str) -> str:
+    return check("c edges", "").rstrip() + f", m AS ({plain(_METHODS)}), p AS ({plain(_PLUGIN_TYPES)}), kc AS ({components}), {_KINDS}"
+
+
+@register("entry_points_analysis")
+def _entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = code_graph(spark, sf_dir)
+    with_plugins = resolve.CodeGraph(g.components, g.imports, g.supertypes.unionByName(table(spark, sf_dir, _PLUGIN_TYPES)), g.annotations)
+    return entry_points(with_plugins, _edges(g), table(spark, sf_dir, _METHODS))
+
+
+ORACLES["entry_points_analysis"] = _kinds_oracle("SELECT * FROM c")
+
+
+@register("entry_points_of_roots")
+def _entry_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' package holds no test, mock, main function, controller or plugin."""
+    g = code_graph(spark, sf_dir)
+    own = resolve.CodeGraph(g.components.filter("package_name = 'com.shop.supplier'"), g.imports, g.supertypes, g.annotations)
+    return entry_points(own, _edges(g), table(spark, sf_dir, _METHODS))
+
+
+ORACLES["entry_points_of_roots"] = _kinds_oracle("SELECT * FROM c WHERE package_name = 'com.shop.supplier'")
 _over_graph(
     "entry_points_report",
     "c0",
@@ -361,6 +408,11 @@ ORACLES["findings_sorted"] = _sorted_oracle()
 
 
 _over_graph("greedy_chain", "", None, lambda g: graph.greedy_chains(g.components, _edges(g), g.components.filter("has_main")))
+ORACLES["greedy_chain"] = check("c edges", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT from_id, count(*) AS n FROM edges GROUP BY 1),
+    nb AS (SELECT e.from_id AS node, list(e.to_id ORDER BY coalesce(n, 0) DESC, e.to_id) AS nb FROM edges e JOIN c ON component_id = to_id AND role <> 'CONFIGURATION' LEFT JOIN o ON o.from_id = e.to_id GROUP BY 1),
+    walk AS (SELECT component_id AS entry, [component_id] AS nodes FROM c WHERE has_main
+      UNION ALL SELECT entry, list_append(nodes, x) FROM (SELECT entry, nodes, list_filter(nb, lambda y: NOT list_contains(nodes, y))[1] AS x FROM walk JOIN nb ON node = nodes[-1] WHERE len(nodes) <= 6) WHERE x IS NOT NULL)
+    SELECT entry, array_to_string(arg_max(nodes, len(nodes)), ' -> ') AS chain FROM walk GROUP BY 1"""
 
 
 @register("code_line_count")

@@ -1,6 +1,7 @@
 import pytest
 from sqlcheck import spark_rows, sql_rows
 
+import loomgraph.plans.java_queries  # noqa: F401 - registers its queries
 import loomgraph.plans.project_reports  # noqa: F401 - registers its queries
 import loomgraph.plans.source_calls  # noqa: F401 - registers its queries
 import loomgraph.plans.summaries  # noqa: F401 - registers its queries
