@@ -189,8 +189,8 @@ _KINDS = f"""k AS (SELECT qualified_name, component_id, CASE WHEN {_TESTLIKE} OR
     SELECT * FROM named UNION ALL SELECT DISTINCT qualified_name, 'APP' FROM kc WHERE NOT EXISTS (FROM named) AND NOT is_data_class AND component_id IN (SELECT from_id FROM edges) AND component_id NOT IN (SELECT to_id FROM edges)"""
 
 
-def _kinds_oracle(components: str) -> str:
-    return check("c edges", "").rstrip() + f", m AS ({plain(_METHODS)}), p AS ({plain(_PLUGIN_TYPES)}), kc AS ({components}), {_KINDS}"
+def _kinds_oracle(components: str, methods: str = plain(_METHODS)) -> str:
+    return check("c edges", "").rstrip() + f", m AS ({methods}), p AS ({plain(_PLUGIN_TYPES)}), kc AS ({components}), {_KINDS}"
 
 
 @register("entry_points_analysis")
@@ -205,13 +205,13 @@ ORACLES["entry_points_analysis"] = _kinds_oracle("SELECT * FROM c")
 
 @register("entry_points_of_roots")
 def _entry_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suppliers' package holds no test, mock, main function, controller or plugin."""
+    """Helper and utility classes hold no test, mock, main function or controller, so their roots are the entries."""
     g = code_graph(spark, sf_dir)
-    own = resolve.CodeGraph(g.components.filter("package_name = 'com.shop.supplier'"), g.imports, g.supertypes, g.annotations)
-    return entry_points(own, _edges(g), table(spark, sf_dir, _METHODS))
+    own = resolve.CodeGraph(g.components.filter("role IN ('HELPER', 'UTIL')"), g.imports, g.supertypes, g.annotations)
+    return entry_points(own, _edges(g))
 
 
-ORACLES["entry_points_of_roots"] = _kinds_oracle("SELECT * FROM c WHERE package_name = 'com.shop.supplier'")
+ORACLES["entry_points_of_roots"] = _kinds_oracle("SELECT * FROM c WHERE role IN ('HELPER', 'UTIL')", "SELECT NULL::BIGINT AS component_id, '' AS name")
 _over_graph(
     "entry_points_report",
     "c0",
