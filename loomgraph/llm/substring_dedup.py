@@ -34,7 +34,7 @@ from loomgraph.llm.words import BASE, BASE_INVERSE, Words, ids_of, mix, powers,
 WINDOW = 50
 MINIMISER = 8
 SAMPLE_RATE = 128
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 EXPANSION = 6
 SEEN_MOST = 250_000
