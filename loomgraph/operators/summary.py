@@ -149,11 +149,11 @@ def simple_entry_points(components: DataFrame, edges: DataFrame) -> DataFrame:
     return named.unionByName(roots.crossJoin(F.broadcast(none)))
 
 
-def usages_by_name(symbols: DataFrame, used: DataFrame, names: DataFrame) -> DataFrame:
-    """names(wanted): every symbol whose last segment, name or qualified name it is, with its usages (symbol_id, ref_id)."""
+def usages_by_name(symbols: DataFrame, totals: DataFrame, names: DataFrame) -> DataFrame:
+    """names(wanted): every symbol whose last segment, name or qualified name it is, with its usages, of totals(symbol_id, n_usages)."""
     forms = F.array_distinct(F.array(last_segment(F.col("name")), F.col("name"), F.col("qualified_name")))
     hits = symbols.select("symbol_id", F.explode(forms).alias("wanted")).join(names.distinct(), "wanted")
-    return hits.join(used, "symbol_id", "left").groupBy("wanted", "symbol_id").agg(F.count("ref_id").alias("n_usages"))
+    return hits.join(totals, "symbol_id", "left").groupBy("wanted", "symbol_id").agg(F.coalesce(F.sum("n_usages"), F.lit(0).cast("long")).alias("n_usages"))
 
 
 def symbols_in_files(symbols: DataFrame, files: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ _WANTED = "SELECT DISTINCT 'm' || CAST(event_id % 30 AS STRING) AS wanted FROM {
 )
 def _by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, r = table(spark, sf_dir, SYMBOLS), table(spark, sf_dir, REFS)
-    return summary.usages_by_name(s, index.usages(s, r), table(spark, sf_dir, _WANTED))
+    return summary.usages_by_name(s, index.usage_totals(s, r), table(spark, sf_dir, _WANTED))
 
 
 @register("symbols_in_files", "symbols refs", "SELECT symbol_id, file FROM symbols WHERE file IN (SELECT file FROM refs WHERE kind = 'CALL')")

@@ -1,9 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
 
 from loomgraph.config import EngineConfig
 from loomgraph.functions import exprs
+from loomgraph.functions.joins import grid_join
 from loomgraph.functions.windows import argmax_first, asof_backward, first_per_key, last_per_key
 from loomgraph.operators import graph, index, rollup, rules, summary
 from loomgraph.operators.resolve import CodeGraph, classified, resolve_names
@@ -227,3 +229,28 @@ def test_interfaces_of_summaries(spark):
     got = sorted(tuple(r) for r in summary.interfaces_of_summaries(found, classes).select("name", "package_name", "source_set", "n_impl", "has_mock").collect())
     assert got == [("ILogger", ":b", "main", 3, True), ("OrderService", "p", "test", 1, False), ("TestOrderService", "p", "test", 0, False)]
     assert summary.interfaces_of_summaries(found.filter("false"), classes.filter("name = 'Logger'")).count() == 0
+
+
+SYMBOL_ROW = "symbol_id long, name string, qualified_name string, kind string, file string, line long, package_name string"
+REF_ROW = "ref_id long, target_name string, target_qualified_name string, kind string, file string, line long"
+
+
+def test_usages_of_a_frequent_name_are_not_shuffled(spark):
+    # 200 x 200 pairs of one name, some at a symbol's own place, ids that stand for several rows, a row without a place
+    symbols = [(i, "C", "p.C", "CLASS", "f", i, "p") for i in range(200)] + [(3, "C", "p.C", "CLASS", "g", 3, "p"), (900, "D", "q.D", "CLASS", "f", 1, "q"), (901, "C", "p.C", "CLASS", None, 7, "p")]
+    refs = [(1000 + i, "C", "p.C", "IMPORT", "f", i) for i in range(200)] + [(1000, "C", "p.C", "IMPORT", "f", 0), (1001, "D", "x.D", "IMPORT", "h", 1), (2000, "D", "x.D", "IMPORT", "f", 1), (2001, "D", None, "CALL", "h", 1)]
+    s, r = spark.createDataFrame(symbols, SYMBOL_ROW), spark.createDataFrame(refs, REF_ROW)
+    elsewhere = lambda f, n, g, m: (f, n) != (g, m) and (f is not None or n != m)
+    want = {(x[0], y[0]) for x in symbols for y in refs if (x[2] == y[2] or x[0] == 900 and y[1] == "D") and elsewhere(x[4], x[5], y[4], y[5])}
+    got = [tuple(x) for x in index.usages(s, r).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    totals = {x.symbol_id: x.n_usages for x in index.usage_totals(s, r).collect()}
+    assert totals == Counter(i for i, _ in want)
+
+
+@pytest.mark.parametrize("cell", [1, 7, 10_000])
+def test_grid_join_is_the_join(spark, cell):
+    a = spark.range(60).selectExpr("if(id < 40, 'hot', concat('k', id)) AS k", "id AS x")
+    b = spark.range(50).selectExpr("if(id < 25, 'hot', concat('k', id)) AS k", "id AS y")
+    got = sorted(map(tuple, grid_join(a, b, ["k"], cell).select("k", "x", "y").collect()))
+    assert got == sorted(map(tuple, a.join(b, "k").select("k", "x", "y").collect())) and len(got) == 1010
