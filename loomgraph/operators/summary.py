@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.exprs import enum_like, interface_like, last_segment
 from loomgraph.functions.windows import first_per_key, last_per_key
-from loomgraph.operators.graph import graph_roots
+from loomgraph.operators.graph import Dependencies, graph_roots
 from loomgraph.operators.rollup import named_counts, totals
 
 # Build and configuration files that a search covers beside sources.
@@ -140,7 +140,7 @@ def distinct_cycles(cycles: DataFrame) -> DataFrame:
     return cycles.select("nodes").distinct()
 
 
-def simple_entry_points(components: DataFrame, edges: DataFrame) -> DataFrame:
+def simple_entry_points(components: DataFrame, edges: DataFrame | Dependencies) -> DataFrame:
     """Components with a main method, then controllers, each qualified name once; the graph's roots where there is none."""
     rank = F.when(F.col("has_main"), 0).when(F.col("role") == "CONTROLLER", 1)
     named = first_per_key(components.withColumn("rank", rank).filter("rank is not null").select("qualified_name", "rank", "component_id"), ["qualified_name"], "rank", "component_id")

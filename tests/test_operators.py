@@ -254,3 +254,24 @@ def test_grid_join_is_the_join(spark, cell):
     b = spark.range(50).selectExpr("if(id < 25, 'hot', concat('k', id)) AS k", "id AS y")
     got = sorted(map(tuple, grid_join(a, b, ["k"], cell).select("k", "x", "y").collect()))
     assert got == sorted(map(tuple, a.join(b, "k").select("k", "x", "y").collect())) and len(got) == 1010
+
+
+def test_links_by_name_are_the_edges(spark):
+    # 40 classes of one name in a package that all name themselves, others that name them, links that imports hold too
+    classes = [("Same", "p")] * 40 + [("User", "p"), ("Lone", "p"), ("Out", "q"), ("Same", "q")]
+    g = code(spark, classes, imports=[(40, "p.Same"), (40, "p.Lone"), (42, "p.Same"), (41, "q.Out"), (39, "p.User")], supertypes=[(42, "Same")])
+    texts = spark.createDataFrame([(i, "Same") for i in range(41)] + [(41, "Lone"), (42, "Same Out"), (43, "Same")], "component_id long, code_text string")
+    plain = graph.dependency_edges(graph.import_edges(g), graph.supertype_edges(g), graph.same_package_edges(g.components, texts))
+    d = graph.dependencies(g, texts)
+    assert d.pairs.count() < 6 and plain.count() > 1600
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(d.edges(), plain)
+    assert same(graph.hub_classes(g.components, d), graph.hub_classes(g.components, plain))
+    for x in (d, plain):
+        assert [r.component_id for r in graph.graph_roots(g.components, x).collect()] == []
+    assert same(d.ends(), graph.Dependencies.of(plain).ends())
+    labels = g.components.selectExpr("component_id", "qualified_name AS label")
+    unlike = lambda x: graph.Dependencies.of(x).named_by(labels).filter("a <> b")
+    assert same(unlike(d), unlike(plain)) and same(d.named_by(labels).select("a", "b"), graph.Dependencies.of(plain).named_by(labels).select("a", "b"))
+    entries = g.components.filter("component_id % 5 = 0")
+    assert same(graph.greedy_chains(g.components, d, entries), graph.greedy_chains(g.components, plain, entries))
