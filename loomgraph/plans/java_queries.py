@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.adapters import COMPONENTS, table
+from loomgraph.plans.adapters import COMPONENTS, spread, table
 from loomgraph.plans.catalog import ORACLES, check, register
 from loomgraph.sources import files
 
@@ -19,7 +19,7 @@ def _java(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"concat({head}, 'import java.util.List;\\nimport com.shop.supplier.S', component_id % 10, ';\\n\\n@Service(\"x\")\\n', {word}, simple_name, {supers}, "
         "' {\\n  // void no() {}\\n  private int x = 1, y;\\n  ', simple_name, '(int q) { super(q); }\\n  public String go(List<String> a) throws E { return f(\"}\"); }\\n}\\n')"
     )
-    return table(spark, sf_dir, COMPONENTS).selectExpr("concat('/src/main/java/', component_id, '.java') AS path", "'java' AS ext", f"{body} AS text")
+    return spread(table(spark, sf_dir, COMPONENTS)).selectExpr("concat('/src/main/java/', component_id, '.java') AS path", "'java' AS ext", f"{body} AS text")
 
 
 def _over_files(name: str, sql: str, build) -> None:

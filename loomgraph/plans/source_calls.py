@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import receivers
-from loomgraph.plans.adapters import plain, table
+from loomgraph.plans.adapters import plain, spread, table
 from loomgraph.plans.catalog import ORACLES, QUERIES
 from loomgraph.sources import files
 
@@ -20,7 +20,7 @@ def _client_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{head}, 'class Api', s, ' {{\\n    fun fetch(): String = \"data.fetch()\" // api.fetch()\\n}}\\n\\nclass Client', s, '(\\n    private val api: Api', t, ',\\n    val n: Int,\\n) {{\\n"
         "    fun load(): String = api.fetch()\\n    fun near(): String = this.fetch()\\n    fun maybe(): String = api?.fetch() ?: near()\\n}\\n')"
     ).replace("{{", "{").replace("}}", "}")
-    return table(spark, sf_dir, _SOURCES).selectExpr("concat('/src/main/kotlin/S', s, '.kt') AS path", "'kt' AS ext", f"{body} AS text")
+    return spread(table(spark, sf_dir, _SOURCES)).selectExpr("concat('/src/main/kotlin/S', s, '.kt') AS path", "'kt' AS ext", f"{body} AS text")
 
 
 QUERIES["calls_of_sources"] = lambda spark, sf_dir: receivers.calls_of_sources(_client_files(spark, sf_dir))
@@ -39,7 +39,7 @@ ORACLES["calls_of_sources"] = f"""WITH x AS ({plain(_SOURCES)}), api AS (SELECT
 def _broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier's file; each seventh is nested so deeply that it cannot be parsed."""
     deep = F.when(F.col("s") % 7 == 0, F.expr("concat('class A', s, ' {', repeat(' class B {', 3000))")).otherwise(F.expr("concat('package p', s, '\\nclass A', s)"))
-    return table(spark, sf_dir, _SOURCES).select(F.expr("concat('/src/S', s, '.kt')").alias("path"), F.lit("kt").alias("ext"), deep.alias("text"))
+    return spread(table(spark, sf_dir, _SOURCES)).select(F.expr("concat('/src/S', s, '.kt')").alias("path"), F.lit("kt").alias("ext"), deep.alias("text"))
 
 
 QUERIES["metadata_with_failures"] = lambda spark, sf_dir: files.metadata_of(_broken_files(spark, sf_dir)).select("path", "qualified_name", "line_count", F.col("parse_error").isNotNull().alias("failed"))

@@ -150,3 +150,11 @@ def test_a_broken_file_keeps_a_row(spark):
     got = {r.path: r for r in files.metadata_of(df).collect()}
     assert got["/A.kt"].parse_error is None and got["/A.kt"].simple_name == "A"
     assert got["/B.kt"].parse_error.startswith("RecursionError") and got["/B.kt"].simple_name is None
+
+
+def test_rendered_sources_are_dealt_evenly(spark):
+    from loomgraph.plans import catalog, java_queries, source_calls
+
+    for build, folder in ((catalog._rendered, "/root/testdata/sf0.001"), (java_queries._java, "/root/testdata/sf0.001"), (source_calls._broken_files, "/root/testdata/sf0.01")):
+        shares = [r["count"] for r in build(spark, folder).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(shares) >= 4 and max(shares) < 0.4 * sum(shares)
