@@ -4,10 +4,11 @@ Each of PERMUTATIONS hash functions is evaluated once a shingle and gives two si
 maximum. Bands of ROWS values put documents into buckets. Documents with equal sets are one class from the start.
 
 Candidate pairs of a bucket are not all emitted. Its least member is a pivot: every member is compared with the
-pivot, and links so found are joined to components. What is left are pairs of members in different components. A
-parity bitmap of each set bounds the symmetric difference of two sets from below, so pairs that cannot be linked are
-left out inside the join, without error; the others are compared as well. No candidate link is lost, and copies of
-one text cost one comparison each.
+pivot, and links so found are joined to components. What is left are pairs of members in different components: those
+outside a bucket's largest component against its others. A parity bitmap of each set bounds the symmetric difference
+of two sets from below, so pairs that cannot be linked are left out inside the join, without error; the others leave
+the join once, whatever the number of buckets they share, and are compared as well. No candidate link is lost, and
+copies of one text cost one comparison each.
 """
 
 from __future__ import annotations
@@ -161,6 +162,19 @@ def _may_link(x: str, y: str, percent: int):
     return F.expr(f"{sizes} and {apart} * {100 + percent} <= ({x}.size + {y}.size) * {100 - percent}")
 
 
+def _apart(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members in different components that may be linked: mixed(key, node, component, main, held).
+
+    Of a bucket only members outside its main component meet the others, each pair in one order. Two members that share
+    several buckets pass in the one of the least key only.
+    """
+    o, m = mixed.filter("component <> main").alias("o"), mixed.alias("m")
+    once = F.expr("o.component <> m.component and (m.component = m.main or o.node < m.node)")
+    least = F.expr("o.key = array_min(array_intersect(o.held.keys, m.held.keys))")
+    met = o.join(m, (F.col("o.key") == F.col("m.key")) & once & _may_link("o.held", "m.held", percent) & least)
+    return met.select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept; keyed adds text_sha256, which rows_of needs.
 
@@ -180,10 +194,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = sketch.select(F.col("seq").alias("node"), "keys").join(classes.select("node"), "node").select("node", F.explode("keys").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     members = staged(bands.join(pivots, "key"), "members")
-    sets = sketch.select("seq", F.col("n_shingles").alias("size"), "bits")
+    sets = sketch.select("seq", F.col("n_shingles").alias("size"), "bits", "keys")
 
-    def with_set(df: DataFrame, node: str, name: str) -> DataFrame:
-        return df.join(sets.select(F.col("seq").alias(node), F.struct("size", "bits").alias(name)), node)
+    def with_set(df: DataFrame, node: str, name: str, *more: str) -> DataFrame:
+        return df.join(sets.select(F.col("seq").alias(node), F.struct("size", "bits", *more).alias(name)), node)
 
     pivot_pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     pivot_pairs = with_set(with_set(pivot_pairs, "b", "y"), "a", "x").filter(_may_link("x", "y", percent)).select("a", "b")
@@ -191,16 +205,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirm(pivot_pairs, sketch, width, "pivot-pairs").filter(linked).select("a", "b")
     found = connected_components(links)
 
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    main = placed.filter("node = pivot").select("key", F.col("component").alias("main"))
-    mixed = staged(with_set(placed.join(spread, "key").join(main, "key").filter("node <> pivot"), "node", "held").select("key", "node", "component", "main", "held"), "mixed")
-    o, m = mixed.filter("component <> main").alias("o"), mixed.alias("m")
-    cross = (
-        o.join(m, (F.col("o.key") == F.col("m.key")) & (F.col("o.component") != F.col("m.component")) & _may_link("o.held", "m.held", percent))
-        .select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b"))
-        .distinct()
-    )
+    placed = members.join(found, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("component"))
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    spread = counted.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", "main")
+    mixed = staged(with_set(placed.filter("node <> pivot").join(spread, "key"), "node", "held", "keys").select("key", "node", "component", "main", "held"), "mixed")
+    cross = _apart(mixed, percent).distinct()
     more = confirm(cross, sketch, width, "cross-pairs").filter(linked).select("a", "b")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))

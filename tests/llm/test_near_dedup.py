@@ -70,6 +70,13 @@ def test_query_against_brute_force(spark):
     assert sorted(map(tuple, nd.op5_near_dedup(spark, SMALL).collect()), key=repr) == brute(rows)
 
 
+def test_members_apart_meet_once_whatever_buckets_they_share(spark):
+    held = (10, [0] * 16, [1, 2, 3])
+    rows = [(k, node, component, 5, held) for k in (1, 2, 3) for node, component in ((5, 5), (6, 5), (7, 7), (8, 8))]
+    mixed = spark.createDataFrame(rows, "key long, node long, component long, main long, held struct<size: long, bits: array<long>, keys: array<long>>")
+    assert sorted(map(tuple, nd._apart(mixed, 80).collect())) == [(5, 7), (5, 8), (6, 7), (6, 8), (7, 8)]
+
+
 def test_chain_of_links_is_one_component(spark):
     w = [f"w{i}" for i in range(101)]
     rows = [(100 - k, " ".join(w[: 101 - 4 * k] + [f"n{k}_{i}" for i in range(4 * k)])) for k in range(6)]
