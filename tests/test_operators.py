@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from loomgraph.config import EngineConfig
@@ -61,6 +62,17 @@ def test_cycles_by_walk(spark):
     assert [r.path for r in graph.back_edge_cycles(e).collect()] == [["A", "B", "A"]]
 
 
+def test_cycles_of_a_walk_are_handed_on_in_pieces(monkeypatch):
+    pairs = [(a, b) for a in range(6) for b in range(6) if a != b]
+    group = pd.DataFrame([("p", i, a, b, 0) for i, (a, b) in enumerate(pairs)], columns=["project", "ord", "a", "b", "a_part"])
+    whole = pd.concat(list(graph._walked(iter([group]))))
+    monkeypatch.setattr(graph, "PIECE_NAMES", 4)
+    pieces = list(graph._walked(iter([group[:7], group[7:]])))
+    assert len(pieces) > 2 and max(sum(map(len, x["path"])) for x in pieces) < 4 + 7
+    again = pd.concat(pieces)
+    assert again.values.tolist() == whole.values.tolist() and again["nth"].tolist() == list(range(len(whole)))
+
+
 def test_cycles_of_any_length(spark):
     ring = [(i, (i + 1) % 7) for i in range(7)] + [(7, 0), (6, 8), (8, 9), (3, 3)]
     e = spark.createDataFrame(ring, "a long, b long")
