@@ -4,10 +4,14 @@ A word is the sum of hashed embeddings of itself and of its first bytes (stems).
 over the words, their maxima over the whole text feed a logistic layer. Embeddings start from smoothed log odds of
 their bucket and are then trained with the filters by AdaGrad. A cut is calibrated for each language, told from the
 letters of the text, and shifts the score so that 0.5 is the decision everywhere.
+
+Every labelled row counts: log odds are summed over all, shards of the rows train from one start and their moves are
+averaged, and cuts are chosen by the counts of all rows left out of the fit.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.memory import give_back
+from loomgraph.llm.scratch import staged
 from loomgraph.llm.shipping import ship_package
-from loomgraph.llm.words import BASE, BASE_INVERSE, Words, mix, powers, word_runs
+from loomgraph.llm.words import BASE, BASE_INVERSE, Words, mix, powers, text_blocks, word_runs
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -34,6 +39,13 @@ OUT_ROWS = 1_000
 SAMPLE_ROWS = 6_000
 SAMPLE_BYTES = 48 << 20
 FOLDS = 5
+# Of 100 rows those that are fitted, where there are enough to leave the others out; text that one shard trains on.
+FITTED = 85
+ENOUGH_ROWS = 200
+SHARD_BYTES = 16 << 20
+# Logits are counted in steps of 1 / STEPS between -SPAN and SPAN.
+SPAN = 64
+STEPS = 256
 # Letters (second byte after 0xC3) that mark a text's language.
 LETTERS = {"de": "äöüß", "es": "ñóíáú", "fr": "éèêçàùâî"}
 SIGN = np.zeros(256, bool)
@@ -129,46 +141,81 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _log_odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of each bucket by the documents that hold it."""
-    seen = np.zeros((2, KINDS * BUCKETS), np.float64)
+def _bucket_counts(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """How many documents of each class hold a bucket."""
+    seen = np.zeros((2, KINDS * BUCKETS), np.int64)
     for rows, label in zip(docs, y, strict=True):
         seen[int(label), np.unique(rows)] += 1
-    n = np.maximum(np.bincount(y, minlength=2), 1)
+    return seen
+
+
+def _log_odds(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of each bucket by the documents of each class that hold it, of n a class."""
+    n = np.maximum(n, 1)
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     support = seen.sum(0) / (seen.sum(0) + 2)
     return np.clip(odds * support, -4, 4)
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 17) -> Model:
-    """Fit the classifier; without both classes every score is low and the same."""
-    y = np.array(labels, np.int64)
-    docs, langs = [], []
-    for _, _, w in word_runs(pa.array(texts, pa.string()), fold=True):
-        rows = features(w)
-        docs += np.split(rows, w.first[1:-1])
-        langs.append(languages(w))
-    lang = np.concatenate(langs) if langs else np.zeros(0, np.int64)
-    rng = np.random.default_rng(seed)
+def _fresh_model(rng: np.random.Generator) -> Model:
     width = FILTERS * len(WIDTHS)
     table = rng.normal(0, 0.05, (KINDS * BUCKETS, DIM)).astype(np.float32)
     kernels = [rng.normal(0, 0.2, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
-    model = Model(table, kernels, np.zeros(width, np.float32), rng.normal(0.2, 0.1, width).astype(np.float32), -2.0, np.zeros(len(LANGUAGES)))
+    return Model(table, kernels, np.zeros(width, np.float32), rng.normal(0.2, 0.1, width).astype(np.float32), -2.0, np.zeros(len(LANGUAGES)))
+
+
+def _constant(model: Model) -> Model:
+    """Every score is low and the same."""
+    model.table[:], model.out_bias = 0, -4.0
+    return model
+
+
+def _start_from(model: Model, seen: np.ndarray, n: np.ndarray) -> None:
+    """The table starts from the log odds of all fitted documents."""
+    model.table[:, 0] += 0.3 * _log_odds(seen, n).astype(np.float32)
+    model.table[np.arange(KINDS) * BUCKETS] = 0
+    for kernel in model.kernels:
+        kernel[:, 0] += 0.5
+
+
+def _documents(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The features of each document's words, and its language."""
+    docs, langs = [], []
+    for _, _, w in word_runs(texts, fold=True):
+        docs += np.split(features(w), w.first[1:-1])
+        langs.append(languages(w))
+    return docs, np.concatenate(langs) if langs else np.zeros(0, np.int64)
+
+
+def train(texts: list[str | None], labels: list[int], seed: int = 17) -> Model:
+    """Fit the classifier on this machine; without both classes every score is low and the same."""
+    y = np.array(labels, np.int64)
+    docs, lang = _documents(pa.array(texts, pa.string()))
+    rng = np.random.default_rng(seed)
+    model = _fresh_model(rng)
     if len(set(labels)) < 2:
-        model.table[:], model.out_bias = 0, -4.0
-        return model
+        return _constant(model)
     fit = np.ones(len(y), bool)
-    if len(y) >= 200:
-        fit = rng.random(len(y)) < 0.85
-    table[:, 0] += 0.3 * _log_odds([d for d, f in zip(docs, fit, strict=True) if f], y[fit]).astype(np.float32)
-    table[np.arange(KINDS) * BUCKETS] = 0
-    for kernel in kernels:
-        kernel[:, 0] += 0.5
-    params = [table, *kernels, model.bias, model.out]
+    if len(y) >= ENOUGH_ROWS:
+        fit = rng.random(len(y)) < FITTED / 100
+    n = np.bincount(y[fit], minlength=2)
+    _start_from(model, _bucket_counts([d for d, f in zip(docs, fit, strict=True) if f], y[fit]), n)
+    _descend(model, docs, y, np.flatnonzero(fit), n, rng)
+    out = ~fit if (~fit).any() else fit
+    z = np.array([model.logit(rows) for rows in docs])
+    model.cuts[:] = _cuts(_logit_counts(z[out], y[out], lang[out]))
+    return model
+
+
+def _descend(model: Model, docs: list[np.ndarray], y: np.ndarray, order: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> None:
+    """EPOCHS of AdaGrad over the documents of `order`; classes are weighted by n, the fitted documents of each."""
+    width = FILTERS * len(WIDTHS)
+    params = [model.table, *model.kernels, model.bias, model.out]
     speed = [np.full(p.shape, 1e-3, np.float32) for p in params]
     bias_speed = 1e-3
-    weight = np.where(y == 1, 0.5 / max((y[fit] == 1).mean(), 0.05), 0.5 / (y[fit] == 0).mean())
-    order = np.flatnonzero(fit & np.array([len(d) > 0 for d in docs]))
+    share = n / n.sum()
+    weight = np.where(y == 1, 0.5 / max(share[1], 0.05), 0.5 / share[0])
+    order = order[np.array([len(docs[i]) > 0 for i in order], bool)]
 
     def step(i: int, grad: np.ndarray, at=slice(None)) -> None:
         speed[i][at] += grad**2
@@ -214,37 +261,136 @@ def train(texts: list[str | None], labels: list[int], seed: int = 17) -> Model:
             step(0, g_table[live], buckets[live])
             for k, g in enumerate(g_kernels):
                 step(1 + k, g)
-            step(1 + len(kernels), back.sum(0))
-            step(2 + len(kernels), g_out)
+            step(1 + len(model.kernels), back.sum(0))
+            step(2 + len(model.kernels), g_out)
             bias_speed += float(d.sum()) ** 2
             model.out_bias -= RATE * float(d.sum()) / bias_speed**0.5
-    _calibrate(model, docs, y, lang, fit)
-    return model
 
 
-def _calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, lang: np.ndarray, fit: np.ndarray) -> None:
-    """Cut of each language between its classes: least weighted error on the rows left out of the fit."""
-    z = np.array([model.logit(rows) for rows in docs])
+def _logit_counts(z: np.ndarray, y: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """Rows by language, class and step of their logit."""
+    counts = np.zeros((len(LANGUAGES), 2, 2 * SPAN * STEPS), np.int64)
+    np.add.at(counts, (lang, y, np.clip(np.floor((z + SPAN) * STEPS), 0, counts.shape[2] - 1).astype(np.int64)), 1)
+    return counts
 
-    def cut(rows: np.ndarray, prior: float) -> float:
-        if (y[rows] == 1).sum() < 5 or (y[rows] == 0).sum() < 5:
+
+def _cuts(counts: np.ndarray) -> np.ndarray:
+    """Cut of each language between its classes: least weighted error, at the edge of a step."""
+    edges = np.arange(counts.shape[2] + 1) / STEPS - SPAN
+
+    def cut(clean: np.ndarray, toxic: np.ndarray, prior: float) -> float:
+        if toxic.sum() < 5 or clean.sum() < 5:
             return prior
-        v = np.unique(z[rows])
-        tries = np.concatenate(([v[0] - 1], (v[1:] + v[:-1]) / 2, [v[-1] + 1]))
-        hit, miss = np.sort(z[rows & (y == 1)]), np.sort(z[rows & (y == 0)])
-        cost = np.searchsorted(hit, tries) / len(hit) + 3 * (1 - np.searchsorted(miss, tries) / len(miss))
-        best = tries[cost <= cost.min() + 1e-12]
+        below = lambda n: np.concatenate(([0], np.cumsum(n))) / n.sum()
+        used = np.flatnonzero(clean + toxic)
+        tries = slice(max(used[0] - STEPS, 0), used[-1] + 2 + STEPS)
+        cost = (below(toxic) + 3 * (1 - below(clean)))[tries]
+        best = edges[tries][cost <= cost.min() + 1e-12]
         # a wide gap between the classes: its middle, drawn to the prior if that lies inside
         return float(np.clip(prior, best.min(), best.max()))
 
-    out = ~fit if (~fit).any() else fit
-    shared = cut(out, 0.0)
-    for i in range(len(LANGUAGES)):
-        model.cuts[i] = cut(out & (lang == i), shared)
+    shared = cut(*counts.sum(0), 0.0)
+    return np.array([cut(*each, shared) for each in counts])
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, y, text, n_bytes, part) of every labelled document outside the held-out fold; part: 0 to 99, by hash."""
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(F.col("toxic").cast("int")) == 1).cast("int").alias("y"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    read = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return read.join(one, "doc_id").select("doc_id", "y", "text", F.octet_length("text").alias("n_bytes"), F.pmod(F.xxhash64("doc_id"), F.lit(100)).alias("part"))
+
+
+def _added(df: DataFrame) -> list[np.ndarray]:
+    """The sums of arrays that each row of df holds as bytes, by column: float32 or, of a name in n_, int64."""
+
+    def arrays(row) -> list[np.ndarray]:
+        return [np.frombuffer(row[c], np.int64 if c.startswith("n_") else np.float32).copy() for c in row.__fields__]
+
+    def add(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        for x, y in zip(a, b, strict=True):
+            x += y
+        return a
+
+    return df.rdd.map(arrays).treeReduce(add, 3)
+
+
+def _one_row(**arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays.values()], list(arrays))
+
+
+def fit_all(rows: DataFrame, seed: int = 17, shard_bytes: int = SHARD_BYTES) -> Model:
+    """Fit the classifier on all `rows` (as of labelled_rows, staged).
+
+    Rows are dealt by hash into shards of about `shard_bytes` of text. Each shard trains from the same start, which holds
+    the log odds of all fitted rows; moves of weights are averaged over shards, those of a bucket over the shards
+    that moved it. What leaves a task has the size of the model or of the counts, and is added up a tree.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    model = _fresh_model(np.random.default_rng(seed))
+    fitted = F.col("part") < FITTED
+    total = rows.agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"), *(F.count(F.when(F.expr(f"y = {k}") & c, 1)).alias(f"{name}{k}") for k in (0, 1) for name, c in (("all", F.lit(True)), ("fit", fitted)))).first()
+    if not total["all0"] or not total["all1"]:
+        return _constant(model)
+    aside = total["n"] >= ENOUGH_ROWS and total["fit0"] > 0 and total["fit1"] > 0 and total["fit0"] + total["fit1"] < total["n"]
+    fit, out = (rows.filter(fitted), rows.filter(~fitted)) if aside else (rows, rows)
+    name = "fit" if aside else "all"
+    n = np.array([total[f"{name}0"], total[f"{name}1"]])
+    shards = max(1, round(total["size"] / shard_bytes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, KINDS * BUCKETS), np.int64)
+        for b in text_blocks(batches):
+            seen += _bucket_counts(_documents(b.column("text"))[0], b.column("y").to_numpy())
+        yield _one_row(n_seen=seen)
+
+    _start_from(model, _added(fit.select("y", "text").mapInArrow(count, "n_seen binary"))[0].reshape(2, -1), n)
+    start = spark.sparkContext.broadcast(model)
+
+    def trained(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        y, own = whole.column("y").to_numpy(), copy.deepcopy(start.value)
+        docs = _documents(whole.column("text"))[0]
+        del whole
+        _descend(own, docs, y, np.arange(len(y)), n, np.random.default_rng([seed, key[0].as_py()]))
+        table = own.table - start.value.table
+        rest = np.concatenate([x.ravel() for x in (*own.kernels, own.bias, own.out)] + [[own.out_bias]]).astype(np.float32)
+        yield _one_row(table=table, n_moved=table.any(1).astype(np.int64), rest=rest)
+        del docs, own, table
+        give_back()
+
+    dealt = fit.select("doc_id", "y", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).alias("shard")).groupBy("shard")
+    table, moved, rest = _added(dealt.applyInArrow(trained, "table binary, n_moved binary, rest binary"))
+    used = dealt.count().count()
+    model.table += table.reshape(model.table.shape) / np.maximum(moved, 1)[:, None]
+    rest, at = rest / used, 0
+    for x in (*model.kernels, model.bias, model.out):
+        x[...] = rest[at : at + x.size].reshape(x.shape)
+        at += x.size
+    model.out_bias = float(rest[at])
+    start.destroy()
+    shared = spark.sparkContext.broadcast(model)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [(shared.value.logits(w), languages(w)) for _, _, w in word_runs(b.column("text"), fold=True, most=1 << 19)]
+            if parts:
+                z, lang = (np.concatenate(x) for x in zip(*parts, strict=True))
+                step = np.clip(np.floor((z.astype(np.float64) + SPAN) * STEPS), 0, 2 * SPAN * STEPS - 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), b.column("y"), pa.array(step)], ["lang", "y", "step"])
+
+    counts = np.zeros((len(LANGUAGES), 2, 2 * SPAN * STEPS), np.int64)
+    for r in out.select("y", "text").mapInArrow(place, "lang int, y int, step long").groupBy("lang", "y", "step").count().collect():
+        counts[r["lang"], r["y"], r["step"]] = r["count"]
+    shared.destroy()
+    model.cuts[:] = _cuts(counts)
+    return model
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str | None], list[int]]:
-    """At most `rows` labelled documents outside the held-out fold, toxic ones first up to half, in an order by hash.
+    """For a fit on one machine (`train`), not used by the queries: at most `rows` labelled documents outside the held-out fold, toxic ones first up to half, in an order by hash.
 
     Texts are taken whole; one with which the sample would pass `most_bytes` is left out. Only texts of the sample
     reach the driver. The order depends on doc_id only through its hash, and neither it nor any other column than
@@ -315,7 +461,8 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
 
 
 def fit_toxicity(spark: SparkSession, sf_dir: str) -> Model:
-    model = train(*training_sample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = labelled_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = fit_all(staged(rows, "labelled"))
     give_back()
     return model
 

@@ -76,6 +76,27 @@ def test_whole_sample_of_long_documents(spark):
     assert len(texts) == 6_000 and sum(y) == 3_000
 
 
+def test_every_labelled_row_is_fitted(spark):
+    ids = spark.range(9_000).selectExpr("id AS doc_id", "concat('w', id, ' plain') AS text")
+    rows = tox.labelled_rows(ids, ids.selectExpr("doc_id", "cast(doc_id % 10 = 0 as int) AS toxic"))
+    want = ids.filter(~tox.held_out(ids.doc_id)).count()
+    assert rows.count() == want > tox.SAMPLE_ROWS
+    assert rows.filter("y = 1").count() > want / 11
+
+
+def test_shards_learn_together(spark):
+    texts, y = planted(1_500, 1)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, k in enumerate(y)], "doc_id long, toxic int")
+    rows = tox.labelled_rows(docs, labels).cache()
+    one, many = (tox.fit_all(rows, shard_bytes=n) for n in (1 << 30, 100_000))
+    texts, y = planted(200, 2)
+    for model in (one, many):
+        assert ((scores(model, texts) >= 0.5) == np.array(y, bool)).mean() > 0.98
+    assert np.allclose(scores(tox.fit_all(rows.repartition(3), shard_bytes=100_000), texts), scores(many, texts), atol=1e-4)
+    assert scores(tox.fit_all(rows.filter("y = 0")), texts).max() < 0.5
+
+
 def test_logit_of_features_is_that_of_the_text():
     model = tox.train(*planted(100, 1))
     w = next(w for _, _, w in word_runs(pa.array(["grumpfa b c d", None], pa.string()), fold=True))
