@@ -299,7 +299,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(F.col("toxic").cast("int")) == 1).cast("int").alias("y"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return read.join(one, "doc_id").select("doc_id", "y", "text", F.octet_length("text").alias("n_bytes"), F.pmod(F.xxhash64("doc_id"), F.lit(100)).alias("part"))
+    # one plan at every size: labels are hashed where they meet the texts, which are neither sorted nor spilled
+    return read.join(one.hint("shuffle_hash"), "doc_id").select("doc_id", "y", "text", F.octet_length("text").alias("n_bytes"), F.pmod(F.xxhash64("doc_id"), F.lit(100)).alias("part"))
 
 
 def _added(df: DataFrame) -> list[np.ndarray]:
@@ -349,23 +350,26 @@ def fit_all(rows: DataFrame, seed: int = 17, shard_bytes: int = SHARD_BYTES) ->
     _start_from(model, _added(fit.select("y", "text").mapInArrow(count, "n_seen binary"))[0].reshape(2, -1), n)
     start = spark.sparkContext.broadcast(model)
 
-    def trained(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        y, own = whole.column("y").to_numpy(), copy.deepcopy(start.value)
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        shard, y, own = whole.column("shard")[0].as_py(), whole.column("y").to_numpy(), copy.deepcopy(start.value)
         docs = _documents(whole.column("text"))[0]
-        del whole
-        _descend(own, docs, y, np.arange(len(y)), n, np.random.default_rng([seed, key[0].as_py()]))
+        del whole, held
+        _descend(own, docs, y, np.arange(len(y)), n, np.random.default_rng([seed, shard]))
         table = own.table - start.value.table
         rest = np.concatenate([x.ravel() for x in (*own.kernels, own.bias, own.out)] + [[own.out_bias]]).astype(np.float32)
-        yield _one_row(table=table, n_moved=table.any(1).astype(np.int64), rest=rest)
+        yield _one_row(table=table, n_moved=table.any(1).astype(np.int64), rest=rest, n_used=np.ones(1, np.int64))
         del docs, own, table
         give_back()
 
-    dealt = fit.select("doc_id", "y", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).alias("shard")).groupBy("shard")
-    table, moved, rest = _added(dealt.applyInArrow(trained, "table binary, n_moved binary, rest binary"))
-    used = dealt.count().count()
+    dealt = fit.select("doc_id", "y", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"))
+    dealt = dealt.repartitionById(shards, F.col("shard"))
+    table, moved, rest, used = _added(dealt.mapInArrow(trained, "table binary, n_moved binary, rest binary, n_used binary"))
     model.table += table.reshape(model.table.shape) / np.maximum(moved, 1)[:, None]
-    rest, at = rest / used, 0
+    rest, at = rest / used[0], 0
     for x in (*model.kernels, model.bias, model.out):
         x[...] = rest[at : at + x.size].reshape(x.shape)
         at += x.size

@@ -84,6 +84,15 @@ def test_every_labelled_row_is_fitted(spark):
     assert rows.filter("y = 1").count() > want / 11
 
 
+def test_labels_meet_texts_by_one_plan_at_every_size(spark, capsys):
+    docs = spark.range(50).selectExpr("id AS doc_id", "'a b' AS text")
+    rows = tox.labelled_rows(docs, docs.selectExpr("doc_id", "1 AS toxic"))
+    assert rows.count() == docs.filter(~tox.held_out(docs.doc_id)).count()
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
 def test_shards_learn_together(spark):
     texts, y = planted(1_500, 1)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
