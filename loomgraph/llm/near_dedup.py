@@ -212,7 +212,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = _apart(mixed, percent).distinct()
     more = confirm(cross, sketch, width, "cross-pairs").filter(linked).select("a", "b")
     if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
+        # components found so far are stars, which the new links join
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = staged(named.select("digest", "least_doc", "component", F.col("n").alias("copies")), "named")

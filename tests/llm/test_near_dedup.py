@@ -4,8 +4,10 @@ import re
 import numpy as np
 import pytest
 
+from loomgraph.llm import components
 from loomgraph.llm import near_dedup as nd
 from loomgraph.llm.components import connected_components
+from loomgraph.llm.scratch import staged
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,6 +114,19 @@ def test_components(spark):
     assert all(got_.get(x, x) == find(x) for x in list(root))
 
 
+def test_stars_take_no_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components, "staged", lambda df, label: (made.append(label), staged(df, label))[1])
+    star = [(1, n) for n in range(2, 30)] + [(40, 41), (42, 42)]
+    found = connected_components(spark.createDataFrame(star, "a long, b long"))
+    assert {(r.node, r.component) for r in found.collect()} == {(n, 1) for n in range(2, 30)} | {(41, 40)} and made == ["edges"]
+    # a link between two components of what was found before: one round
+    more = found.selectExpr("node AS a", "component AS b").unionByName(spark.createDataFrame([(7, 41)], "a long, b long"))
+    made.clear()
+    assert {(r.node, r.component) for r in connected_components(more).collect()} == {(n, 1) for n in (*range(2, 30), 40, 41)}
+    assert made.count("starred") <= 2
+
+
 def test_empty_table(spark):
     assert got(spark.createDataFrame([], "doc_id long, text string")) == []
 
