@@ -141,6 +141,18 @@ def test_complete_graph_ends_soon(spark):
     assert messages(rules.circular_dependencies(cycles))[0][1].startswith("Circular dependency: 0 -> 1 -> ")
 
 
+def test_large_components_are_found_without_rounds(spark, monkeypatch):
+    # 240,000 edges that trimming leaves: a ring of as many nodes as edges would take a round a step to colour
+    n = 240_000
+    monkeypatch.setattr(graph, "_spread", lambda *_: pytest.fail("coloured in rounds"))
+    ring = spark.range(n).selectExpr("'p' AS project", "id AS ord", "id AS a", f"(id + 1) % {n} AS b")
+    pairs = spark.range(3000).selectExpr("'q' AS project", "id AS ord", "id AS a", "id + if(id % 2 = 0, 1, -1) AS b")
+    parts = graph.strong_components(ring.unionByName(pairs))
+    assert sorted(map(tuple, parts.groupBy("project").agg({"node": "count", "component": "max"}).collect())) == [("p", n, 0), ("q", 3000, 2998)]
+    walked = graph.back_edge_cycles(pairs, names=spark.range(3000).selectExpr("id AS node", "concat('n', id % 10) AS name")).orderBy("ord").collect()
+    assert [r.path for r in walked] == [[f"n{i % 10}", f"n{i % 10 + 1}", f"n{i % 10}"] for i in range(0, 3000, 2)] and [r.ord for r in walked] == list(range(1500))
+
+
 def test_component_cycles_show_simple_names(spark):
     g = code(spark, [("A", "p"), ("B", "q"), ("C", "p")], imports=[(0, "q.B"), (1, "p.A"), (2, "p.A")])
     assert [r.path for r in graph.component_cycles(g.components, graph.import_edges(g)).collect()] == [["A", "B", "A"]]
