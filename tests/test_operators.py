@@ -280,6 +280,18 @@ def test_grid_join_is_the_join(spark, cell):
     assert got == sorted(map(tuple, a.join(b, "k").select("k", "x", "y").collect())) and len(got) == 1010
 
 
+def test_rows_of_a_grid_grow_with_the_input(spark, monkeypatch):
+    # 3,000 by 3,000 pairs of one name in cells of one by one would repeat each row 3,000 times
+    a, b = spark.range(3000).selectExpr("'hot' AS k", "id AS x"), spark.range(3000).selectExpr("'hot' AS k", "id AS y")
+    repeated = []
+    merged = type(a).join
+    monkeypatch.setattr(type(a), "join", lambda self, other, on=None, *how: repeated.extend([self.count(), other.count()] if on == ["k", "__line", "__column"] else []) or merged(self, other, on, *how))
+    got = grid_join(a, b, ["k"], 1)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(repeated) == 2 and max(repeated) <= 3000 * (1 + (16 * parts) ** 0.5)
+    assert got.count() == got.select("x", "y").distinct().count() == 9_000_000
+
+
 def test_links_by_name_are_the_edges(spark):
     # 40 classes of one name in a package that all name themselves, others that name them, links that imports hold too
     classes = [("Same", "p")] * 40 + [("User", "p"), ("Lone", "p"), ("Out", "q"), ("Same", "q")]
